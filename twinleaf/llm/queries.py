@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, packing, token_files
-from .shared import table
+from . import decontamination, jaccard_join, line_dedup, packing, quality, token_files, toxicity
+from .shared import split_key, table
 
 
 def tokenizer_path() -> str:
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), split_key("doc_id", 4) == 2
+    return toxicity.digest(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -25,6 +30,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), split_key("doc_id", 5) == 0
+    return quality.digest(docs, quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,8 +48,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op6_quality": op6_quality,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
