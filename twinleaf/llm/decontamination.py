@@ -251,4 +251,6 @@ def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5, **options) -> DataFrame:
     """docs without hit spans; rows of which more than max_coverage of the words are hit go altogether."""
     found = annotate(docs, benchmark, text_col, window, **options)
-    return found.where(F.col("n_hit") <= F.greatest("n_words", F.lit(1)) * F.lit(max_coverage)).select(*(F.col(c) for c in docs.columns))
+    tail = ["spans", "items", "n_words", "n_hit", "sha"]
+    plain = found.toDF(*(f"c{i}" for i in range(len(docs.columns))), *tail)
+    return plain.where(F.col("n_hit") <= F.greatest("n_words", F.lit(1)) * F.lit(max_coverage)).drop(*tail).toDF(*docs.columns)

@@ -277,6 +277,12 @@ def apply(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_d
     return out.select(*back, "n_lines", "n_dropped")
 
 
+def rewrite(docs: DataFrame, **options) -> DataFrame:
+    """docs with texts rewritten, with its columns alone."""
+    out = apply(docs, **options)
+    return out.toDF(*(f"c{i}" for i in range(len(out.columns)))).select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
+
+
 def digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped and the kept text's SHA-256."""
     return apply(docs.select("doc_id", "text"), **options).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -130,6 +130,13 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)), "score")
 
 
+def keep(docs: DataFrame, model, least: float = CUT, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score `least` or more, with its columns alone."""
+    scored = score(docs, model, text_col)
+    plain = scored.toDF(*(f"c{i}" for i in range(len(docs.columns))), "score")
+    return plain.where(F.col("score") >= least).drop("score").toDF(*docs.columns)
+
+
 def digest(docs: DataFrame, model, held_out: Column) -> DataFrame:
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
