@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import ship
 
 U64 = np.uint64
 WINDOW = 10
@@ -229,6 +230,7 @@ def _finish(batches: Iterator[pa.RecordBatch], n_rest: int) -> Iterator[pa.Recor
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, shard_words: int = 1_000_000) -> DataFrame:
     """docs with `text_col` cut by the hit spans, and clean_spans (word numbers), clean_items, n_words, n_hit, items_sha256 appended."""
+    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
     others = [f for i, f in enumerate(docs.schema.fields) if i != at]
     names = [f"c{i}" for i in range(len(others))]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textvec as tv
-from .shared import materialise, parallelism
+from .shared import materialise, parallelism, ship
 
 U64 = np.uint64
 BLOCK = 1 << 21
@@ -414,6 +414,7 @@ def training_texts(docs: DataFrame, text_col: str, id_col: str, held_out: Column
 def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", sample: int = 1000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
+    ship(spark)
     parts = parallelism(spark)
     bits = max(4, (parts - 1).bit_length())
     kind, arrow = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)

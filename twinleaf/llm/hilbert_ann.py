@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, parallelism
+from .shared import materialise, parallelism, ship
 
 DIM, BITS = 8, 8
 CURVES = 16
@@ -237,6 +237,7 @@ class Index:
 
     def __init__(self, rows: DataFrame, id_col: str, vector_col: str, asked: Column, k: int, curves: int = CURVES):
         spark = self.spark = rows.sparkSession
+        ship(spark)
         self.k, self.parts = k, parallelism(spark)
         vector = F.col("vector")
         clean = rows.select(F.col(vector_col).cast("array<double>").alias("vector"), F.col(id_col).cast("long").alias("id"), asked.alias("asked"))

@@ -5,9 +5,11 @@
 2. A document of n shingles can only link if at least t*n of them are repeated; only such documents go on. Equal sets become one class.
 3. Shingles are ordered from rare to common. Classes of equal size and equal prefix (of n - ceil(t*n) + 1 shingles) form a group;
    only groups are posted under their prefix shingles and joined.
-4. First each group meets one leader for the shingle lists it shares; verified links give components. Then every list that still
-   spans components gives all its group pairs outside its largest component; pairs pass size, position and bitmap filters, are expanded
-   to members of different components and verified. Pairs inside a component need no test: the result is the components.
+4. First each group meets one leader for the shingle lists it shares; verified links give components. In the rounds that follow, each
+   list that spans components brings one group of each of them before some of a component drawn by its size, and of each two components
+   the closest pair is verified. After these rounds, which only spare work, every list that still spans components gives all its group pairs outside its largest component;
+   pairs pass size, position and bitmap filters, are expanded to members of different components and verified.
+   Pairs inside a component need no test: the result is the components.
 
 So a list of copies or near copies costs as many pairs as members, no pair that could join two components is left out, and what is
 linked is decided by exact counts. Hashes have 48 bits and those of the segment number.
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .shared import materialise, parallelism
+from .shared import materialise, parallelism, ship
 
 U64 = np.uint64
 LOW = 48
 BLOCK = 1 << 20
 MAP_LONGS = 16
 WORDS = 5
+#: Rounds in which components meet before the full crossing, and how many groups the drawn component sends to each.
+ROUNDS, DRAWS = 6, 4
 #: Similarity bound as a fraction: intersection * DOWN >= union * UP.
 UP, DOWN = 80, 100
 
@@ -87,7 +91,8 @@ def _segments(batches: Iterator[pa.RecordBatch], k: int, bits: int, id_kind: pa.
         at = np.concatenate([[0], np.cumsum(n)])
         prints = []
         for salt in (3, 5):
-            sums = np.concatenate([[0], np.cumsum(tv.mix(keys + U64(salt)))]).astype(U64)
+            sums = np.zeros(len(keys) + 1, U64)
+            np.cumsum(tv.mix(keys + U64(salt)), out=sums[1:])
             prints.append(sums[at[1:]] - sums[at[:-1]])
         ids = pa.concat_arrays([x[2] for x in held])
         marks = pa.concat_arrays([x[3] for x in held])
@@ -243,11 +248,30 @@ def overlap_fits(overlap: Column, total: Column) -> Column:
     return overlap * (UP + DOWN) >= total * UP
 
 
+def apart(x: str, y: str) -> Column:
+    """Differing bits of two bitmaps: no more than the sets' differing shingles."""
+    bits = [F.bit_count(F.col(f"{x}.m{i}").bitwiseXOR(F.col(f"{y}.m{i}"))) for i in range(MAP_LONGS)]
+    return sum(bits[1:], bits[0])
+
+
+def near_enough(x: str, y: str) -> Column:
+    """Whether two groups' heads, or two members (radius 0), can have similar sets as far as bitmaps tell."""
+    least = apart(x, y) - F.col(f"{x}.radius") - F.col(f"{y}.radius")
+    return overlap_fits((F.col(f"{x}.repeated") + F.col(f"{y}.repeated") - least) / 2, F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after links between labels."""
+    joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialise(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 class Join:
     """The join's tables. nodes: every row; classes: one row for each distinct set that can link; members: their groups."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int):
         self.spark = docs.sparkSession
+        ship(self.spark)
         self.id_kind = docs.schema[id_col].dataType.simpleString()
         parts = parallelism(self.spark)
         bits = max(4, (parts - 1).bit_length())
@@ -265,8 +289,14 @@ class Join:
         self.prints = materialise(able.groupBy("print1", "print2", "n").agg(F.min("node").alias("cls"), F.count("*").alias("copies")), "classes")
         classes = able.join(self.prints.select(F.col("cls").alias("node")), "node", "left_semi")
         classes = classes.withColumn("p1", F.xxhash64("prefix", "n")).withColumn("p2", F.hash("prefix", "n"))
-        groups = classes.groupBy("p1", "p2", "n").agg(F.min("node").alias("gid"))
-        self.classes = materialise(classes.join(groups, ["p1", "p2", "n"]).drop("p1", "p2", "id", "mark", "print1", "print2"), "sets")
+        same = ["p1", "p2", "n", "repeated"]
+        groups = classes.groupBy(*same).agg(F.min("node").alias("gid"))
+        self.classes = materialise(classes.join(groups, same).drop("p1", "p2", "id", "mark", "print1", "print2"), "sets")
+        bitmaps = [f"m{i}" for i in range(MAP_LONGS)]
+        first = self.classes.where("node = gid").select("gid", "n", "repeated", *bitmaps)
+        spread = self.classes.where("node <> gid").alias("x").join(first.alias("y"), F.col("x.gid") == F.col("y.gid")).groupBy("x.gid").agg(F.max(apart("x", "y")).alias("radius"))
+        # no member's bitmap is further than the radius from its head's
+        self.heads = materialise(first.join(spread, "gid", "left").withColumn("radius", F.coalesce("radius", F.lit(0))), "heads")
         heads = self.classes.where("node = gid").select("gid", "n", "repeated", F.posexplode("prefix").alias("pos", "token"))
         # what can still be shared from this shingle on: later ones are at least as common
         self.postings = materialise(heads.select("gid", "n", "token", (F.col("repeated") - F.col("pos")).alias("rest")), "postings")
@@ -287,35 +317,68 @@ class Join:
         best = met.groupBy("gid").agg(F.max(F.struct("c", (-F.col("r")).alias("r"), "lead")).alias("m")).select(F.col("gid").alias("a"), F.col("m.lead").alias("b"))
         return best.union(self.classes.where("node <> gid").select(F.col("node").alias("a"), F.col("gid").alias("b")))
 
+    def labelled_lists(self, span: DataFrame) -> DataFrame:
+        """Postings of the lists whose groups (span: gid, low, high) lie in more than one component."""
+        lists = self.postings.join(span, "gid")
+        mixed = lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
+        return lists.join(mixed, "token", "left_semi")
+
+    def meetings(self, labels: DataFrame, salt: int) -> DataFrame:
+        """a, b, la, lb: classes that meet in a list of heads or in a group, one pair for each two components."""
+        heads = self.postings.select(F.lit(0).alias("kind"), "token", F.col("gid").alias("node"), "n")
+        groups = self.heads.where("radius > 0").select("gid")
+        inside = self.classes.join(groups, "gid", "left_semi").select(F.lit(1).alias("kind"), F.col("gid").alias("token"), "node", "n")
+        lists = heads.unionByName(inside).join(labels, "node")
+        drawn = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(salt * 8 + k)).alias("r"), "node", "n"))
+        reps = lists.groupBy("kind", "token", "label").agg(F.count("*").alias("c"), *(drawn(k).alias(f"x{k}") for k in range(DRAWS)))
+        reps = materialise(reps, "meeting")
+        largest = F.max(F.struct("c", "label", *(f"x{k}" for k in range(DRAWS))))
+        lead = reps.groupBy("kind", "token").agg(largest.alias("l"), F.count("*").alias("c")).where("c > 1")
+        lead = lead.select("kind", "token", F.col("l.label").alias("lb"), F.explode(F.array(*(F.col(f"l.x{k}") for k in range(DRAWS)))).alias("y"))
+        fits = (F.col("label") != F.col("lb")) & sizes_fit(F.col("x0.n"), F.col("y.n"))
+        met = reps.drop("c").join(lead, ["kind", "token"]).where(fits).select(F.col("x0.node").alias("a"), F.col("y.node").alias("b"), F.col("label").alias("la"), "lb").distinct()
+        bitmaps = self.classes.select("node", "n", "repeated", F.lit(0).alias("radius"), *(f"m{i}" for i in range(MAP_LONGS)))
+        x, y = bitmaps.alias("x"), bitmaps.alias("y")
+        close = met.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(near_enough("x", "y"))
+        best = close.groupBy(F.least("la", "lb").alias("p"), F.greatest("la", "lb").alias("q")).agg(F.min(F.struct(apart("x", "y").alias("d"), "a", "b", "la", "lb")).alias("m"))
+        return materialise(best.select("m.a", "m.b", "m.la", "m.lb"), "meetings")
+
     def crossing_pairs(self, labels: DataFrame) -> DataFrame:
         """All pairs of classes in different components that share a prefix shingle or a group and pass the filters."""
-        named = self.classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        members = materialise(named.select("node", "gid", "n", "repeated", "label", *(f"m{i}" for i in range(MAP_LONGS))), "members")
+        members = materialise(self.classes.join(labels, "node").select("node", "gid", "n", "repeated", "label", F.lit(0).alias("radius"), *(f"m{i}" for i in range(MAP_LONGS))), "members")
         span = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        lists = self.postings.join(span, "gid")
-        mixed = lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-        lists = materialise(lists.join(mixed, "token", "left_semi"), "lists")
+        lists = self.labelled_lists(span).join(self.heads.drop("n"), "gid")
+        lists = materialise(lists, "lists")
         pure = lists.where("low = high").groupBy("token", "low").agg(F.count("*").alias("c"))
         largest = pure.groupBy("token").agg(F.max(F.struct("c", "low")).alias("m")).select("token", F.col("m.low").alias("main"))
         others = lists.join(largest, "token", "left").where("main IS NULL OR low <> main OR high <> main")
         x, y = others.alias("x"), lists.alias("y")
         fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & sizes_fit(F.col("x.n"), F.col("y.n"))
         fits &= ~((F.col("x.low") == F.col("x.high")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.low") == F.col("y.high")))
-        fits &= overlap_fits(F.least("x.rest", "y.rest"), F.col("x.n") + F.col("y.n"))
+        fits &= overlap_fits(F.least("x.rest", "y.rest"), F.col("x.n") + F.col("y.n")) & near_enough("x", "y")
         groups = x.join(y, fits).select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb")).distinct()
         inner = span.where("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
         x, y = members.alias("x"), members.alias("y")
-        apart = sum((F.bit_count(F.col(f"x.m{i}").bitwiseXOR(F.col(f"y.m{i}"))) for i in range(1, MAP_LONGS)), F.bit_count(F.col("x.m0").bitwiseXOR(F.col("y.m0"))))
-        close = overlap_fits((F.col("x.repeated") + F.col("y.repeated") - apart) / 2, F.col("x.n") + F.col("y.n"))
-        pairs = groups.union(inner).join(x, F.col("ga") == F.col("x.gid")).join(y, (F.col("gb") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & close)
+        pairs = groups.union(inner).join(x, F.col("ga") == F.col("x.gid")).join(y, (F.col("gb") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & near_enough("x", "y"))
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
     def labels(self) -> DataFrame:
-        """node, label of every class that has a link to another class."""
-        links = self.verified(self.leader_pairs())
-        labels = components(links)
+        """node, label of every class: the smallest class that links lead to."""
+        every = self.classes.select("node")
+        labels = materialise(every.join(components(self.verified(self.leader_pairs())), "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+        for salt in range(ROUNDS):
+            met = self.meetings(labels, salt)
+            linked = met.join(self.verified(met.select("a", "b")), ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+            linked = materialise(linked, "linked")
+            if not linked.limit(1).count():
+                break
+            labels = merged(labels, linked)
         more = self.verified(materialise(self.crossing_pairs(labels), "pairs"))
-        return components(links.union(more)) if more.limit(1).count() else labels
+        if not more.limit(1).count():
+            return labels
+        ends = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        linked = more.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b")
+        return merged(labels, linked.select(F.col("la").alias("a"), F.col("lb").alias("b")))
 
     def resolved(self) -> DataFrame:
         """node, id, mark, n, component: the smallest id of the documents linked with it, and `first`: its smallest (id, mark)."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import materialise, parallelism
+from .shared import materialise, parallelism, ship
 
 U64 = np.uint64
 PROBES = 4
@@ -236,6 +236,7 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10,
 
 def _condemned(docs: DataFrame, text_col: str, min_docs: int, min_chars: int, filter_bytes: int):
     spark = docs.sparkSession
+    ship(spark)
     bits = max(4, (4 * parallelism(spark) - 1).bit_length())
     texts = docs.select(F.col(text_col).alias("t"))
     dealt = texts.mapInArrow(partial(_deal_hashes, bits=bits, min_chars=min_chars), "seg int, hashes binary")

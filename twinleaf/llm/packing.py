@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import materialise
+from .shared import materialise, ship
 
 END_ID = 2
 LONG_FIRST = 0.3
@@ -192,6 +192,7 @@ def _placed(batches: Iterator[pa.RecordBatch], plan, capacity: int) -> Iterator[
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = END_ID, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
+    ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     pieces = docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("i")).mapInArrow(partial(_pieces, path=tokenizer_path, end_id=end_id, capacity=capacity), schema + ", part int, rank long")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import labelled_sample
+from .shared import labelled_sample, ship
 
 U64 = np.uint64
 BITS = 18
@@ -123,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, target: str = "qual
 
 def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     """docs with `score` appended."""
+    ship(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import materialise, parallelism
+from .shared import materialise, parallelism, ship
 
 MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 ANNOUNCES = re.compile(r"wrote:\s*$", re.IGNORECASE | re.ASCII)
@@ -136,6 +136,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def reply_ordered(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, body, reply_to, thread, depth, n_quoted, position of every message, in reply order."""
     spark = messages.sparkSession
+    ship(spark)
     kinds = {c: messages.schema[c].dataType.simpleString() for c in ("conv_id", "turn", "role")}
     head = ", ".join(f"{c} {k}" for c, k in kinds.items())
     parsed = materialise(messages.select("conv_id", "turn", "role", "text").mapInArrow(_parse, f"{head}, body string, lines array<long>, quoted array<long>, levels array<int>"), "messages")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
@@ -30,6 +30,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Later stages read files that outlive any executor, so a lost executor costs only its running tasks.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    ship(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,6 +42,7 @@ def split_key(column: str, modulus: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,10 +50,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows_allowed: Column, bound: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """At most about `bound` labelled texts, spread by a hash of the id, in an order fixed by that hash.
 

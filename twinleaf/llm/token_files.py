@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import fresh_path, materialise, parallelism
+from .shared import fresh_path, materialise, parallelism, ship
 
 END_ID = 2
 SEQUENCE = 2048
@@ -197,6 +197,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, seque
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or fresh_path(spark, "token-files")
     kind = docs.schema[id_col].dataType.simpleString()
     bounds = range_bounds(docs, id_col, 3 * parallelism(spark))
@@ -213,6 +214,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, seque
 
 def read(spark, files: list[dict], id_type_name: str = "bigint") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
+    ship(spark)
     rows = spark.createDataFrame([(f["uri"], f["first"]) for f in files], "uri string, first long")
     return rows.repartition(max(1, len(files))).mapInArrow(_read, f"doc_id {id_type_name}, start long, n_tokens long, ids_crc32 long")
 
