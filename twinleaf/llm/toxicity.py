@@ -249,7 +249,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 4, rate: float = 0.05) -> M
     corpus, labels = Corpus([t for t, _ in rows]), np.array([y for _, y in rows])
     order = np.random.default_rng(0).permutation(len(rows))
     kept, learn = order[: len(rows) // 4], order[len(rows) // 4 :]
-    if labels[learn].sum() in (0, len(learn)):
+    if not len(kept) or labels[learn].sum() in (0, len(learn)):
         kept = learn = order
     evidence(model, corpus, labels, learn)
     descend(model, corpus, labels, learn, epochs, rate)
