@@ -85,7 +85,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int, id_kind: pa.DataType)
         ids = pa.concat_arrays([x[3] for x in held])
         whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         empty = pa.nulls(1).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([block * 40503 % (1 << bits)], pa.int32()), pa.array([-1], pa.int32()), pa.array([block], pa.int64()), whole(ids), whole(apart), pa.array([sizes.astype("<i4").tobytes()], pa.binary()), pa.array([pack24(spot)], pa.binary()), empty, empty], names)
+        yield pa.RecordBatch.from_arrays([pa.array([int(tv.mix(np.array([block], U64))[0]) >> (64 - bits)], pa.int32()), pa.array([-1], pa.int32()), pa.array([block], pa.int64()), whole(ids), whole(apart), pa.array([sizes.astype("<i4").tobytes()], pa.binary()), pa.array([pack24(spot)], pa.binary()), empty, empty], names)
         cuts = np.searchsorted(words >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
         rows = [s for s in range(1 << bits) if cuts[s] < cuts[s + 1]]
         none = pa.nulls(len(rows))
