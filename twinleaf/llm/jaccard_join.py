@@ -97,7 +97,7 @@ def _segments(batches: Iterator[pa.RecordBatch], k: int, bits: int, id_kind: pa.
         ids = pa.concat_arrays([x[2] for x in held])
         marks = pa.concat_arrays([x[3] for x in held])
         whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        yield pa.RecordBatch.from_arrays([pa.array([block * 40503 % (1 << bits)], pa.int32()), pa.array([-1], pa.int32()), pa.array([block], pa.int64()), whole(ids), whole(marks), pa.array([n.astype("<i4").tobytes()], pa.binary()), pa.array([np.stack(prints).astype("<u8").tobytes()], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([int(tv.mix(np.array([block], U64))[0]) >> (64 - bits)], pa.int32()), pa.array([-1], pa.int32()), pa.array([block], pa.int64()), whole(ids), whole(marks), pa.array([n.astype("<i4").tobytes()], pa.binary()), pa.array([np.stack(prints).astype("<u8").tobytes()], pa.binary())], names)
         seg = (keys >> U64(LOW)).astype(np.int32)
         order = np.argsort(seg, kind="stable")
         cuts = np.searchsorted(seg[order], np.arange((1 << bits) + 1))
