@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import ship
+from .shared import frugal, ship
 
 U64 = np.uint64
 WINDOW = 10
@@ -178,6 +178,7 @@ def shards(benchmark: DataFrame, window: int, shard_words: int, id_col: str = "i
 _SPANS = "array<struct<a:int,b:int>>"
 
 
+@frugal
 def _mark(batches: Iterator[pa.RecordBatch], automaton, n_rest: int) -> Iterator[pa.RecordBatch]:
     """Columns: text, spans, items, then n_rest others. Adds this automaton's hit word spans and item ids to the lists."""
     machine = automaton.value
@@ -205,6 +206,7 @@ def merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
+@frugal
 def _finish(batches: Iterator[pa.RecordBatch], n_rest: int) -> Iterator[pa.RecordBatch]:
     """Replaces columns 0 to 2 by the text without hit spans and the document's counts."""
     for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textvec as tv
-from .shared import materialise, parallelism, ship
+from .shared import frugal, materialise, parallelism, ship
 
 U64 = np.uint64
 BLOCK = 1 << 21
@@ -66,6 +66,7 @@ def unpack24(blob) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+@frugal
 def _blocks(batches: Iterator[pa.RecordBatch], bits: int, id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Of each block a row with its documents, and a row for each segment with its distinct words there."""
     base, number = TaskContext.get().partitionId() << 12, 0
@@ -104,6 +105,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int, id_kind: pa.DataType)
         yield from out()
 
 
+@frugal
 def _sum_counts(batches: Iterator[pa.RecordBatch], id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by segment. Answers each block with its words' training counts; a row of statistics (block -1) for the segment."""
     now, rows = None, []
@@ -360,6 +362,7 @@ def log_likelihoods(model: Model, classes: np.ndarray, at: np.ndarray) -> np.nda
     return out / np.log(10)
 
 
+@frugal
 def _score(batches: Iterator[pa.RecordBatch], shared, id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block and segment, a block's documents first."""
     vocabulary, model = shared.value

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, parallelism, ship
+from .shared import frugal, materialise, parallelism, ship
 
 DIM, BITS = 8, 8
 CURVES = 16
@@ -86,6 +86,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+@frugal
 def _smallest_ids(batches: Iterator[pa.RecordBatch], keep: int, dim: int) -> Iterator[pa.RecordBatch]:
     """One row for each distinct vector of the task: the smallest ids, and whether any is a query."""
     held: dict[bytes, list] = {}
@@ -114,6 +115,7 @@ def _smallest_ids(batches: Iterator[pa.RecordBatch], keep: int, dim: int) -> Ite
         yield out()
 
 
+@frugal
 def _keys(batches: Iterator[pa.RecordBatch], curves, dim: int) -> Iterator[pa.RecordBatch]:
     """An item for each point and curve, and another where the point is a query."""
     model = curves.value
@@ -131,6 +133,7 @@ def _keys(batches: Iterator[pa.RecordBatch], curves, dim: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(curve, pa.int32()), pa.array(keys.ravel()), pa.array(np.tile(own, len(keys))), pa.array(np.full(len(curve), query))], ["curve", "key", "cls", "query"])
 
 
+@frugal
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, seen = TaskContext.get().partitionId(), {}
     for batch in batches:
@@ -164,6 +167,7 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) ->
             yield ids[some][order], exact[order]
 
 
+@frugal
 def _search(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by curve, block and role; blocks have at most a window of points and three of queries."""
     now, points, ids, queries, asked = None, [], [], [], []
@@ -197,6 +201,7 @@ def _search(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.
         yield done
 
 
+@frugal
 def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by query; the k best of all its windows."""
     now, found = None, {}
@@ -217,6 +222,7 @@ def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield out()
 
 
+@frugal
 def _exact(batches: Iterator[pa.RecordBatch], queries, dim: int, k: int) -> Iterator[pa.RecordBatch]:
     """Best points of this task for a broadcast sample of queries."""
     ids, points = queries.value

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .shared import materialise, parallelism, ship
+from .shared import frugal, materialise, parallelism, ship
 
 U64 = np.uint64
 LOW = 48
@@ -77,6 +77,7 @@ def unpack48(blob, segment: int) -> np.ndarray:
     return out.view("<u8").ravel() | U64(segment << LOW)
 
 
+@frugal
 def _segments(batches: Iterator[pa.RecordBatch], k: int, bits: int, id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows of a block: one with its documents (ids set), and one for each segment with packed keys and documents' counts."""
     base, number = TaskContext.get().partitionId() << 12, 0
@@ -128,6 +129,7 @@ def rarity(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(16 * np.log2(n)), 255).astype(np.uint8)
 
 
+@frugal
 def _repeated(batches: Iterator[pa.RecordBatch], id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by segment. Keeps keys that occur in two documents or more, with their rarity; rows with ids pass."""
     now, rows = None, []
@@ -177,6 +179,7 @@ def prefix_size(n: int) -> int:
     return n - -(-n * UP // DOWN) + 1
 
 
+@frugal
 def _documents(batches: Iterator[pa.RecordBatch], id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block, its documents first. A row for each document; keys, prefix and bitmap if it can link at all."""
     now, meta, parts = None, None, []
@@ -225,6 +228,7 @@ def _documents(batches: Iterator[pa.RecordBatch], id_kind: pa.DataType) -> Itera
         yield from out()
 
 
+@frugal
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets are similar enough, by exact counts."""
     for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import materialise, parallelism, ship
+from .shared import frugal, materialise, parallelism, ship
 
 U64 = np.uint64
 PROBES = 4
@@ -55,6 +55,7 @@ def _distinct_in_documents(h: np.ndarray, ok: np.ndarray, at: np.ndarray) -> np.
     return order[first]
 
 
+@frugal
 def _deal_hashes(batches: Iterator[pa.RecordBatch], bits: int, min_chars: int, flush: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
@@ -100,6 +101,7 @@ class Bloom:
         return ((self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
+@frugal
 def _twice_seen(batches: Iterator[pa.RecordBatch], segment_bytes: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by segment; a filter of twice-seen keys for each."""
     now, blobs = None, []
@@ -154,6 +156,7 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
+@frugal
 def _suspected_lines(batches: Iterator[pa.RecordBatch], bits: int, min_chars: int, filters, with_id: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, _, data, offsets in tv.slices(batch.column(0)):
@@ -203,6 +206,7 @@ def _hash_of_keys(keys: list[bytes]) -> np.ndarray:
     return tv.span_hashes(data, ends - np.array([len(k) for k in keys], np.int64), ends, tv.LOWER_TABLE) if keys else np.zeros(0, U64)
 
 
+@frugal
 def _rewrite(batches: Iterator[pa.RecordBatch], min_chars: int, condemned) -> Iterator[pa.RecordBatch]:
     """Replaces column 0 by the kept text; appends line counts. condemned: broadcast keys, or None if column 1 lists each row's."""
     fixed = None

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import materialise, ship
+from .shared import frugal, materialise, ship
 
 END_ID = 2
 LONG_FIRST = 0.3
@@ -154,6 +154,7 @@ class Plan:
         return first[k] + r // copies[k], offset[k] + (r % copies[k]) * size
 
 
+@frugal
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     for batch in batches:
@@ -178,6 +179,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
             )
 
 
+@frugal
 def _placed(batches: Iterator[pa.RecordBatch], plan, capacity: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import labelled_sample, ship
+from .shared import frugal, labelled_sample, ship
 
 U64 = np.uint64
 BITS = 18
@@ -109,11 +109,12 @@ def train(rows: list[tuple[str, int]], epochs: int = 2, alpha: float = 0.1, beta
     return Model(w.reshape(READINGS, -1).astype(np.float32), bias)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+@frugal
+def _score(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [model.value.scores(data, offsets) for _, _, data, offsets in tv.slices(batch.column(0))]
+        parts = [model.value.scores(data, offsets) for _, _, data, offsets in tv.slices(batch.column(text))]
         score = np.concatenate([*parts, np.zeros(0)])
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(score)], [*batch.schema.names[1:], "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, target: str = "quality", sample: int = 4000):
@@ -127,7 +128,7 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    out = plain.select(F.col(names[docs.columns.index(text_col)]).alias("t"), *names).mapInArrow(partial(_score, model=model), schema + ", score double")
+    out = plain.mapInArrow(partial(_score, model=model, text=docs.columns.index(text_col)), schema + ", score double")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)), "score")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import materialise, parallelism, ship
+from .shared import frugal, materialise, parallelism, ship
 
 MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 ANNOUNCES = re.compile(r"wrote:\s*$", re.IGNORECASE | re.ASCII)
@@ -69,6 +69,7 @@ def _hash(lines: list[str]) -> np.ndarray:
     return tv.span_hashes(np.frombuffer(b"".join(data), np.uint8), ends - np.array([len(x) for x in data], np.int64), ends, tv.RAW_TABLE).view(np.int64) if data else np.zeros(0, np.int64)
 
 
+@frugal
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Appends the own text, hashes of own lines (distinct), and hashes and levels of quoted lines."""
     for batch in batches:
@@ -122,6 +123,7 @@ def threads(links: DataFrame) -> DataFrame:
         now = now.drop("moved")
 
 
+@frugal
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Appends the task's number and each row's place among the task's rows of its conversation. Rows come sorted."""
     part, now, seen = TaskContext.get().partitionId(), None, 0

@@ -2,13 +2,47 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship as ship_package
+
+#: Rows of an Arrow batch. Documents are long, and a batch stands in the JVM and in Python at once; Spark's default is 10000.
+BATCH_ROWS = 1024
+
+
+def ship(spark: SparkSession) -> None:
+    """The package on all workers, and Arrow batches of bounded size unless the session sets its own."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10000:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def frugal(fn):
+    """For generators that run in Python workers: memory that a task has freed goes back to the system when it ends.
+
+    Workers live on between stages, and what they keep adds up beside the executor's heap.
+    """
+
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        try:
+            yield from fn(*args, **kwargs)
+        finally:
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:

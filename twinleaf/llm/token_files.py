@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import fresh_path, materialise, parallelism, ship
+from .shared import fresh_path, frugal, materialise, parallelism, ship
 
 END_ID = 2
 SEQUENCE = 2048
@@ -111,6 +111,7 @@ class SequenceFile:
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
+@frugal
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds: list) -> Iterator[pa.RecordBatch]:
     kind = id_type(tokens.ChunkedTokenizer.at(path).tokenizer.get_vocab_size())
     for batch in batches:
@@ -149,6 +150,7 @@ class RangeFile:
         return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int32()), pa.array([self.path.rpartition("/")[2]]), pa.array([int(n.sum())], pa.int64()), pa.array([len(n)], pa.int64())], ["range", "name", "n_tokens", "n_docs"])
 
 
+@frugal
 def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: int, size: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by range, then doc_id."""
     file = None
@@ -178,6 +180,7 @@ def range_bounds(docs: DataFrame, id_col: str, ranges: int) -> list:
     return sorted({got[len(got) * k // ranges] for k in range(1, ranges)}) if got else []
 
 
+@frugal
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri, base in zip(batch.column("uri").to_pylist(), batch.column("first").to_pylist(), strict=True):
