@@ -32,6 +32,8 @@ FILTERS = 8
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6)
 LANG_BITS = 10
+#: A bucket learns only if so many training documents have it: what stands in one or two would be learnt by heart.
+LEAST_DOCUMENTS = 4
 LANGUAGES = 6
 CUT = 0.3
 
@@ -129,19 +131,25 @@ class Corpus:
         return np.concatenate(parts, axis=1).astype(np.int64), np.concatenate([[0], np.cumsum([p.shape[1] for p in parts])])
 
 
-def evidence(model: Model, corpus: Corpus, labels: np.ndarray, rows: np.ndarray) -> None:
-    """The first embedding dimension starts from each bucket's smoothed log odds, so training starts near the words that matter."""
+def evidence(model: Model, corpus: Corpus, labels: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The first embedding dimension starts from each bucket's smoothed log odds, so training starts near the words that matter.
+
+    Returns which buckets may learn.
+    """
     n1 = max(int(labels[rows].sum()), 1)
     ratio = n1 / max(len(rows) - n1, 1)
+    often = np.zeros((len(PREFIXES) + 1, 1 << BITS), bool)
     for k in range(len(PREFIXES) + 1):
         seen = np.zeros((2, 1 << BITS))
         for i in rows:
             seen[labels[i], np.unique(corpus.buckets[i][k])] += 1
+        often[k] = seen.sum(axis=0) >= LEAST_DOCUMENTS
         odds = np.log((seen[1] + 0.5 * ratio + 0.05) / (seen[0] * ratio + 0.5 * ratio + 0.05))
-        model.embedding[k, :, 0] = np.clip(odds, -2, 4) * (seen.sum(axis=0) >= 3) * 0.5
+        model.embedding[k, :, 0] = np.clip(odds, -2, 4) * often[k] * 0.5
+    return often
 
 
-def descend(model: Model, corpus: Corpus, labels: np.ndarray, rows: np.ndarray, epochs: int, rate: float, seed: int = 2) -> None:
+def descend(model: Model, corpus: Corpus, labels: np.ndarray, rows: np.ndarray, often: np.ndarray, epochs: int, rate: float, seed: int = 2) -> None:
     """Adagrad on the logistic loss, label 1 weighted up."""
     rng = np.random.default_rng(seed)
     weight = min(4.0, (len(rows) - labels[rows].sum()) / max(labels[rows].sum(), 1))
@@ -190,6 +198,7 @@ def descend(model: Model, corpus: Corpus, labels: np.ndarray, rows: np.ndarray,
                 spot, inverse = np.unique(buckets[k][hit], return_inverse=True)
                 total = np.zeros((len(spot), DIM), np.float32)
                 np.add.at(total, inverse, move[hit])
+                total *= often[k][spot][:, None]
                 memory["embedding"][k][spot] += total * total
                 model.embedding[k][spot] -= rate * total / np.sqrt(memory["embedding"][k][spot])
 
@@ -212,49 +221,64 @@ def find_languages(model: Model, corpus: Corpus, rows: np.ndarray, rounds: int =
     model.language = table.T.astype(np.float32)
 
 
-def calibrate(model: Model, corpus: Corpus, labels: np.ndarray, rows: np.ndarray) -> None:
-    """Moves each language's cut of best F1 to CUT; a language with few labels keeps the cut of all."""
-    target = float(np.log(CUT / (1 - CUT)))
+def logits_and_languages(model: Model, corpus: Corpus, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     z, lang = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
-    model.move = np.zeros(LANGUAGES, np.float32)
-    for k, part in enumerate(np.array_split(np.arange(len(rows)), max(1, len(rows) // 64))):
+    for part in np.array_split(np.arange(len(rows)), max(1, len(rows) // 64)):
         buckets, at = corpus.batch(rows[part])
         z[part] = model.bias + (model.pooled(model.embedded(buckets), at) * model.out).sum(axis=(1, 2))
         lang[part] = model.languages(np.concatenate([corpus.lang[i] for i in rows[part]]).astype(np.int64), at)
-    y = labels[rows]
-
-    def cut(mask: np.ndarray) -> float | None:
-        zs, ys = z[mask], y[mask]
-        if min(ys.sum(), (1 - ys).sum()) < 8:
-            return None
-        order = np.argsort(-zs, kind="stable")
-        hits = np.cumsum(ys[order])
-        f1 = 2 * hits / (np.arange(1, len(zs) + 1) + ys.sum())
-        best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-        i = int(best[-1])  # the middle of the gap below the last of the best
-        return float((zs[order[i]] + zs[order[min(i + 1, len(zs) - 1)]]) / 2)
-
-    everything = cut(np.ones(len(rows), bool))
-    for k in range(LANGUAGES):
-        own = cut(lang == k)
-        chosen = own if own is not None else everything
-        model.move[k] = 0.0 if chosen is None else target - chosen
-
-
-def train(rows: list[tuple[str, int]], epochs: int = 4, rate: float = 0.05) -> Model:
+    return z, lang
+
+
+def best_cut(z: np.ndarray, y: np.ndarray) -> float | None:
+    """Logit of best F1, in the middle of the gap below the last that it takes in."""
+    if min(y.sum(), (1 - y).sum()) < 8:
+        return None
+    order = np.argsort(-z, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
+    i = int(np.flatnonzero(f1 >= f1.max() - 1e-12)[0])
+    return float((z[order[i]] + z[order[min(i + 1, len(z) - 1)]]) / 2)
+
+
+def calibrate(model: Model, z: np.ndarray, lang: np.ndarray, y: np.ndarray) -> None:
+    """Moves each language's cut of best F1 to CUT; a language with few labels keeps the cut of all."""
+    target = float(np.log(CUT / (1 - CUT)))
+    everything = best_cut(z, y)
+    if everything is None:  # the share of label 1 decides
+        everything = float(np.quantile(z, 1 - y.mean()))
+    own = [best_cut(z[lang == k], y[lang == k]) for k in range(LANGUAGES)]
+    model.move = np.array([target - (everything if x is None else x) for x in own], np.float32)
+
+
+def train(rows: list[tuple[str, int]], epochs: int = 4, rate: float = 0.05, folds: int = 4) -> Model:
+    """Cuts come from rows that a model did not learn from: of one fold, or of all folds in turn where labels are few."""
     positive = sum(y for _, y in rows)
-    model = Model(float(np.log((positive + 1) / (len(rows) - positive + 1))))
+    prior = float(np.log((positive + 1) / (len(rows) - positive + 1)))
+    model = Model(prior)
     if positive in (0, len(rows)):
         return model
     corpus, labels = Corpus([t for t, _ in rows]), np.array([y for _, y in rows])
     order = np.random.default_rng(0).permutation(len(rows))
-    kept, learn = order[: len(rows) // 4], order[len(rows) // 4 :]
-    if not len(kept) or labels[learn].sum() in (0, len(learn)):
-        kept = learn = order
-    evidence(model, corpus, labels, learn)
-    descend(model, corpus, labels, learn, epochs, rate)
     find_languages(model, corpus, order)
-    calibrate(model, corpus, labels, kept)
+
+    def fitted(learn: np.ndarray) -> Model:
+        out = Model(prior)
+        out.language, out.move = model.language, np.zeros(LANGUAGES, np.float32)
+        descend(out, corpus, labels, learn, evidence(out, corpus, labels, learn), epochs, rate)
+        return out
+
+    parts = [x for x in np.array_split(order, folds) if len(x)]
+    enough = labels[parts[0]].sum() >= 60
+    z, lang, y = [], [], []
+    for part in parts[:1] if enough else parts:
+        learn = np.setdiff1d(order, part)
+        got = logits_and_languages(fitted(learn) if len(learn) else Model(prior), corpus, part)
+        z.append(got[0])
+        lang.append(got[1])
+        y.append(labels[part])
+    model = fitted(order)
+    calibrate(model, *(np.concatenate(x) for x in (z, lang, y)))
     model.fitted = True
     return model
 
