@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import explain, measures as m
+from ..functions.ranking import global_rank
 from ..operators import pairs
 from ..operators.parse import parse
 from ..operators.plugins import BUILT_IN, PythonPlugin
@@ -64,11 +65,11 @@ def scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIXED_PATH = f"CASE WHEN p_size % 2 = 0 THEN 'pkg/m' || p_partkey || '.py' ELSE {PATH} END"
 
 
-@query(f"""SELECT path FROM (SELECT {MIXED_PATH} AS path, p_size % 2 AS deep FROM part) ORDER BY deep, path LIMIT 500""")
+@query(f"""SELECT path, row_number() OVER (ORDER BY deep, path) AS rank FROM (SELECT {MIXED_PATH} AS path, p_size % 2 AS deep FROM part)""")
 def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First files of the walk: those of a directory come before its subdirectories."""
+    """Every file's place in the walk: files of a directory come before its subdirectories."""
     rows = parts(spark, sf_dir).select(F.expr(MIXED_PATH).alias("path"))
-    return rows.orderBy(scan_key(F.col("path"))).limit(500)
+    return global_rank(rows.withColumn("key", scan_key(F.col("path"))), ["key"]).select("path", "rank")
 
 
 EXCLUDED_PATH = "'pkg/' || CASE p_size % 5 WHEN 0 THEN 'venv/' WHEN 1 THEN 'build/x/' WHEN 2 THEN '' ELSE 'venv2/' END || 'm' || p_partkey || CASE WHEN p_size % 3 = 0 THEN '.pyi' ELSE '.py' END"
