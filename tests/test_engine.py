@@ -188,3 +188,36 @@ def test_the_plan_pushes_bounds_below_the_sequences(spark, scan):
     plan = engine.scored_pairs(scan.functions().select("rel", "scan_key", *OCCURRENCE, *FEATURES), 0.8)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Join")  # the join and its bounds run first, below the function
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_registry_takes_classes_and_instances(spark, tmp_path):
+    import json
+
+    from twinleaf.operators.plugins import Registry
+    from twinleaf.plans import sinks
+
+    registry = Registry()
+
+    @registry.register
+    class Tag:
+        name = "tag"
+
+        def analyze(self, a, b, evidence):
+            return {"labels": ["tagged"], "metadata": {"shape": evidence["shape_similarity"]}}
+
+    quiet = registry.register(ColumnPlugin("never", lambda a, b, e: Finding(F.lit(False), texts("x"))))
+    assert [p.name for p in registry.plugins[-2:]] == ["tag", "never"] and registry.plugins[-1] is quiet
+    scan = Scan(from_table(table(spark, REPO)), canonical=False, source=True)
+    rows = engine.near_matches(scan, 0.75, None, registry.plugins)
+    assert all("tagged" in r.pattern_labels and "x" not in r.pattern_labels for r in rows.collect())
+    sinks.save(rows.select("a", "abstract_template", "metadata"), str(tmp_path / "out"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(lines) == rows.count() and all("abstract_template" in x and json.loads(x["metadata"]["custom"]["tag"])["shape"] > 0 for x in lines)
+
+
+def test_kept_parts_split_groups(spark):
+    files = {"a.py": "def f(x):\n    'one'\n    return 1\n", "b.py": "def f(x):\n    'two'\n    return 1\n"}
+    assert engine.exact_groups(Scan(from_table(table(spark, files)))).count() == 1
+    assert engine.exact_groups(Scan(from_table(table(spark, files)), keep=frozenset(["docstrings"]))).count() == 0
+    with pytest.raises(ValueError, match="unknown parts"):
+        Scan(from_table(table(spark, files)), keep=frozenset(["x"]))

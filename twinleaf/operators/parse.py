@@ -20,7 +20,7 @@ from . import syntax
 PARSED = {"rel": "string"} | OCCURRENCE | FEATURES | {"canonical": "string", "error": "string", "fatal": "boolean", "source": "string"}
 
 
-def functions_of(content: bytes | None, read_error: str | None, path: str, top_level_only: bool, features: bool, normal: tuple[bool, bool] | None, source: bool) -> Iterator[dict]:
+def functions_of(content: bytes | None, read_error: str | None, path: str, top_level_only: bool, features: bool, normal: tuple[bool, bool] | None, keep: frozenset[str], source: bool) -> Iterator[dict]:
     """A row for each visible function, or one with the error."""
     if read_error is not None or content is None:
         yield {"error": read_error or "TypeError: no source"}
@@ -38,7 +38,7 @@ def functions_of(content: bytes | None, read_error: str | None, path: str, top_l
             if features:
                 row |= syntax.measure(fn)
             if normal is not None:
-                row["canonical"] = syntax.canonical(fn, *normal)
+                row["canonical"] = syntax.canonical(fn, *normal, keep)
         except Exception as error:  # unlike a file that does not parse, this ends the query
             yield {"error": f"{type(error).__name__}: {error}", "fatal": True}
             return
@@ -59,14 +59,16 @@ def _parse(batches: Iterator[pa.RecordBatch], schema: pa.Schema, options: dict)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def parse(sources: DataFrame, top_level_only: bool = False, features: bool = True, normal: tuple[bool, bool] | None = None, source: bool = False) -> DataFrame:
+def parse(sources: DataFrame, top_level_only: bool = False, features: bool = True, normal: tuple[bool, bool] | None = None, keep: frozenset[str] = frozenset(), source: bool = False) -> DataFrame:
     """Function and error rows of a source relation.
 
-    normal: (local names, constants) to normalise away in `canonical`, which is null without it; features and source text are
-    computed only if asked for.
+    normal: (local names, constants) to normalise away in `canonical`, which is null without it; keep: parts of syntax.KEEPABLE
+    that it does not leave out. Features and source text are computed only if asked for.
     """
+    if unknown := sorted(set(keep) - syntax.KEEPABLE):
+        raise ValueError(f"unknown parts to keep: {', '.join(unknown)}")
     ship(sources.sparkSession)
     schema = StructType.fromDDL(ddl(PARSED))
-    options = {"top_level_only": top_level_only, "features": features, "normal": normal, "source": source}
+    options = {"top_level_only": top_level_only, "features": features, "normal": normal, "keep": frozenset(keep), "source": source}
     rows = sources.select("rel", "path", "content", "read_error").mapInArrow(partial(_parse, schema=to_arrow_schema(schema), options=options), schema)
     return rows.withColumn("scan_key", scan_key(F.col("rel")))

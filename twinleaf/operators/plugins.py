@@ -138,6 +138,20 @@ BUILT_IN: tuple[Plugin, ...] = (
     ColumnPlugin("dependency_divergence", _dependency_divergence),
 )
 
+
+class Registry:
+    """Plugins in the order they were registered; passed to a query as registry.plugins."""
+
+    def __init__(self, plugins: tuple[Plugin, ...] = BUILT_IN):
+        self.plugins = plugins
+
+    def register(self, item):
+        """For plugins, and as a decorator for a class or an instance with `name` and `analyze(a, b, evidence)`."""
+        made = item() if isinstance(item, type) else item
+        self.plugins = (*self.plugins, made if isinstance(made, Plugin) else PythonPlugin(made.name, made.analyze))
+        return item
+
+
 _OUTCOME = "struct<said:boolean,labels:array<string>,differences:array<string>,risks:array<string>,suggestion:string,delta:double,template:string,metadata:string,error:string>"
 
 

@@ -16,12 +16,12 @@ class Scan:
     """Functions and errors of a source relation, parsed once and kept for all queries.
 
     strict: a file that cannot be read or parsed is an error of the first query, for the first such file in scan order.
-    normal: (local names, constants) that the canonical form leaves out.
+    normal: (local names, constants) that the canonical form leaves out; keep: parts it keeps (docstrings, decorators, ...).
     """
 
-    def __init__(self, sources: DataFrame, *, top_level_only: bool = False, strict: bool = False, normal: tuple[bool, bool] = (False, False), features: bool = True, canonical: bool = True, source: bool = False):
+    def __init__(self, sources: DataFrame, *, top_level_only: bool = False, strict: bool = False, normal: tuple[bool, bool] = (False, False), keep: frozenset[str] = frozenset(), features: bool = True, canonical: bool = True, source: bool = False):
         self.strict, self.source = strict, source
-        self.rows = parse(sources, top_level_only, features, normal if canonical else None, source).persist()
+        self.rows = parse(sources, top_level_only, features, normal if canonical else None, keep, source).persist()
         self._checked = False
 
     def functions(self) -> DataFrame:
