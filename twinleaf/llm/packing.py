@@ -2,8 +2,9 @@
 
 The length histogram (at most `capacity` rows) is all the driver sees. The covering program over configurations (which
 lengths share a sequence) is solved by multiplicative weights: each round the dynamic-programming knapsack prices the
-configuration of most weight, and lengths that are covered lose weight. The fractional solution is rounded down, and what
-is left is packed configuration by configuration: the longest length left plus the best fill of the rest of the sequence.
+configuration of most weight, and lengths that are covered lose weight. The fractional solution is rounded down. What is
+left, about as many sequences as there are configurations, is packed in two ways, of which the one with fewer sequences counts:
+best-fit by falling length, or the longest length left plus the best fill of the rest of the sequence, as often as that goes.
 Tasks then place pieces by their rank within their length, so no task ever holds more than its own pieces.
 
 Edge cases: a null text is empty and still has its end id; a piece that fills a sequence alone is not packed; repeated
@@ -27,6 +28,8 @@ from .shared import frugal, materialise, ship
 
 END_ID = 2
 LONG_FIRST = 0.3
+#: Pieces that rounding may leave to be packed one by one; more are packed a configuration at a time.
+SMALL_REST = 50_000
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -96,17 +99,53 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = 600,
                 continue
             on = copies > 0
             use(copies, min(int(amount), int((left[on] // copies[on]).min())))
+    while left.sum() > SMALL_REST:
+        use(*fullest(sizes, left, capacity))
+    rest = left
+    by_length = best_fit({int(s): int(n) for s, n in zip(sizes, rest, strict=True) if n}, capacity)
+    rounded = len(out)
     while left.any():
-        i = int(np.flatnonzero(left)[-1])
-        rest = left.copy()
-        rest[i] -= 1
-        copies = fill(sizes, rest, capacity - int(sizes[i]))
-        copies[i] += 1
-        on = copies > 0
-        use(copies, int((left[on] // copies[on]).min()))
+        use(*fullest(sizes, left, capacity))
+    if sum(n for _, n in by_length) <= sum(n for _, n in out[rounded:]):
+        out[rounded:] = by_length
     return out
 
 
+def fullest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """The longest length left with the best fill of the rest of the sequence, and how often that goes."""
+    i = int(np.flatnonzero(left)[-1])
+    rest = left.copy()
+    rest[i] -= 1
+    copies = fill(sizes, rest, capacity - int(sizes[i]))
+    copies[i] += 1
+    on = copies > 0
+    return copies, int((left[on] // copies[on]).min())
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """What rounding leaves, longest first, each into the fullest sequence that takes it."""
+    rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
+    open_rooms = np.zeros(capacity + 1, bool)
+    contents: list[dict[int, int]] = []
+    for size in sorted(histogram, reverse=True):
+        for _ in range(histogram[size]):
+            free = int(open_rooms[size:].argmax()) + size
+            if open_rooms[free]:
+                at = rooms[free].pop()
+                open_rooms[free] = bool(rooms[free])
+            else:
+                at, free = len(contents), capacity
+                contents.append({})
+            contents[at][size] = contents[at].get(size, 0) + 1
+            rooms[free - size].append(at)
+            open_rooms[free - size] = True
+    alike: dict[tuple, int] = {}
+    for held in contents:
+        key = tuple(sorted(held.items()))
+        alike[key] = alike.get(key, 0) + 1
+    return [(dict(key), times) for key, times in alike.items()]
+
+
 def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[np.ndarray, float]]:
     """Multiplicative weights for the covering program: configurations and how often each is used."""
     covered = np.zeros(len(sizes))
