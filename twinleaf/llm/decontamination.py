@@ -206,7 +206,6 @@ def merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-@frugal
 def _finish(batches: Iterator[pa.RecordBatch], n_rest: int) -> Iterator[pa.RecordBatch]:
     """Replaces columns 0 to 2 by the text without hit spans and the document's counts."""
     for batch in batches:
@@ -230,6 +229,12 @@ def _finish(batches: Iterator[pa.RecordBatch], n_rest: int) -> Iterator[pa.Recor
             )
 
 
+@frugal
+def _mark_and_finish(batches: Iterator[pa.RecordBatch], automaton, n_rest: int) -> Iterator[pa.RecordBatch]:
+    """Both steps in one worker."""
+    yield from _finish(_mark(batches, automaton, n_rest), n_rest)
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, shard_words: int = 1_000_000) -> DataFrame:
     """docs with `text_col` cut by the hit spans, and clean_spans (word numbers), clean_items, n_words, n_hit, items_sha256 appended."""
     ship(docs.sparkSession)
@@ -239,10 +244,11 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wind
     rest = "".join(f", {n} {f.dataType.simpleString()}" for n, f in zip(names, others, strict=True))
     out = docs.toDF(*("t" if i == at else names[i - (i > at)] for i in range(len(docs.columns))))
     out = out.select("t", F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"), *names)
-    for automaton in shards(benchmark, window, shard_words):
+    *earlier, last = shards(benchmark, window, shard_words)
+    for automaton in earlier:
         out = out.mapInArrow(partial(_mark, automaton=automaton, n_rest=len(names)), f"t string, spans {_SPANS}, items array<string>{rest}")
     tail = f"text string, spans {_SPANS}, items array<string>, n_words long, n_hit long, items_sha256 string"
-    out = out.mapInArrow(partial(_finish, n_rest=len(names)), f"{rest.removeprefix(', ')}{', ' if rest else ''}{tail}")
+    out = out.mapInArrow(partial(_mark_and_finish, automaton=last, n_rest=len(names)), f"{rest.removeprefix(', ')}{', ' if rest else ''}{tail}")
     back = [F.col("text").alias(text_col) if i == at else F.col(names[i - (i > at)]).alias(c) for i, c in enumerate(docs.columns)]
     return out.select(*back, F.col("spans").alias("clean_spans"), F.col("items").alias("clean_items"), "n_words", "n_hit", "items_sha256")
 

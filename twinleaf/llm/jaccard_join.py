@@ -35,11 +35,11 @@ from .shared import frugal, materialise, parallelism, ship
 
 U64 = np.uint64
 LOW = 48
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 MAP_LONGS = 16
 WORDS = 5
 #: Rounds in which components meet before the full crossing, and how many groups the drawn component sends to each.
-ROUNDS, DRAWS = 6, 4
+ROUNDS, DRAWS = 3, 4
 #: Similarity bound as a fraction: intersection * DOWN >= union * UP.
 UP, DOWN = 80, 100
 
@@ -278,7 +278,7 @@ class Join:
         ship(self.spark)
         self.id_kind = docs.schema[id_col].dataType.simpleString()
         parts = parallelism(self.spark)
-        bits = max(4, (parts - 1).bit_length())
+        bits = max(4, (2 * parts - 1).bit_length())
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow_id = to_arrow_type(docs.schema[id_col].dataType)

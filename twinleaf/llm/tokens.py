@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from . import textvec as tv
 
 U64 = np.uint64
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 600_000
 #: Unicode white space outside ASCII, and the bytes that it starts with in UTF-8.
 WIDE_SPACE = "[\u0085   -     　]"
 #: Control bytes that some patterns count as white space and some do not.
@@ -64,8 +64,8 @@ class ChunkedTokenizer:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, U64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int32)
+        self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -100,7 +100,7 @@ class ChunkedTokenizer:
         unique, example, spot = np.unique(h, return_index=True, return_inverse=True)
         self._learn(data, unique, starts[example], ends[example])
         at = np.searchsorted(self.keys, unique)[spot]
-        first, count = self.first[at], self.count[at]
+        first, count = self.first[at].astype(np.int64), self.count[at].astype(np.int64)
         ends_out = np.cumsum(count)
         place = np.arange(ends_out[-1]) - np.repeat(ends_out - count - first, count)
         text_at = np.searchsorted(starts, offsets)
@@ -149,8 +149,8 @@ class ChunkedTokenizer:
         self.ids = np.concatenate(parts)
         where = np.searchsorted(self.keys, unique[new])
         self.keys = np.insert(self.keys, where, unique[new])
-        self.first = np.insert(self.first, where, first)
-        self.count = np.insert(self.count, where, count)
+        self.first = np.insert(self.first, where, first.astype(np.int32))
+        self.count = np.insert(self.count, where, count.astype(np.int32))
 
 
 def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
