@@ -359,6 +359,52 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(pairs_, F.lit(True)).join(errors, F.lit(True)).select("exact_groups", "near_matches", "abstract_candidates", "scan_errors", "plugin_errors")
 
 
+@query(f"{REPS} SELECT a, b FROM p WHERE p_type IN ('MEDIUM', 'LARGE')")
+def near_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Above what call-free copies can reach, only wrapper and lambda pairs are left."""
+    return near_generated(spark, sf_dir, 0.86).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"))
+
+
+@query(f"{RANKED} SELECT row_number() OVER ({RANK_ORDER}) AS rank, a, b FROM q")
+def near_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_generated(spark, sf_dir).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), (-F.col("refactorability_score")).alias("r"), (-F.col("similarity_score")).alias("s"))
+    return global_rank(rows, ["r", "s", "a", "b"]).select("rank", "a", "b")
+
+
+@query(f"{RANKED} SELECT a, b, suggested FROM q WHERE suggested <> 'leave_separate'")
+def abstract_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = engine.worth_merging(near_generated(spark, sf_dir))
+    return rows.select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), F.col("suggested_refactor_kind").alias("suggested"))
+
+
+@query(f"""{RANKED}, g AS (SELECT p_type, count(*) AS n, string_agg(qualname, ',' ORDER BY path) AS names FROM r GROUP BY 1 HAVING count(*) > 1)
+SELECT 'exact' AS section, n AS size, names AS what FROM g UNION ALL SELECT 'near', CAST(NULL AS BIGINT), a || ' ' || b FROM (SELECT a, b FROM q {RANK_ORDER} LIMIT 5)""")
+def showcase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All exact groups by their names, and the five best pairs."""
+    scan = engine.Scan(corpora.generated(corpora.representatives(spark, sf_dir)), normal=(True, True))
+    exact = engine.exact_groups(scan).select(F.lit("exact").alias("section"), F.col("count").alias("size"), F.array_join(F.transform("occurrences", lambda o: o.qualname), ",").alias("what"))
+    near = engine.near_matches(scan, 0.8, 5).select(F.lit("near").alias("section"), F.lit(None).cast("long").alias("size"), F.concat_ws(" ", "a.path", "b.path").alias("what"))
+    return exact.unionByName(near)
+
+
+@query(f"""{REPS}, g AS (SELECT p_type, count(*) AS n, string_agg(qualname, ', ' ORDER BY path) AS names FROM r GROUP BY 1 HAVING count(*) > 1)
+SELECT '::error title=twinleaf,file=' || path || ',line=1,col=1,endLine=' || {by_type(SMALL="'6'", MEDIUM="'2'", LARGE="'2'", ECONOMY="'3'", PROMO="'4'", STANDARD="'4'")} || '::Exact duplicate group (' || g.n || ' occurrences): ' || names AS line FROM r JOIN g USING (p_type)""")
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan = engine.Scan(corpora.generated(corpora.representatives(spark, sf_dir)), normal=(True, True), features=False)
+    groups = engine.exact_groups(scan)
+    names = F.array_join(F.transform("occurrences", lambda o: o.qualname), ", ")
+    message = F.concat(F.lit("Exact duplicate group ("), F.col("count").cast("string"), F.lit(" occurrences): "), names)
+    rows = groups.select(message.alias("message"), F.explode("occurrences").alias("at"))
+    return rows.select(sinks.annotation_column("error", F.col("message"), F.col("at")).alias("line"))
+
+
+@query("""SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents) GROUP BY ALL""")
+def doc_token_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter build: how often each token stands in each document."""
+    rows = corpora.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token"))
+    return rows.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT * FROM (SELECT 'exact_groups' AS category, (SELECT count(*) FROM (SELECT 1 FROM part WHERE p_size <> 50 GROUP BY p_type HAVING count(*) > 1)) AS actual, CAST(2 AS BIGINT) AS allowed) WHERE actual > allowed
 UNION ALL SELECT * FROM (SELECT 'scan_errors', (SELECT count(*) FROM part WHERE p_size = 50) AS actual, CAST(0 AS BIGINT)) WHERE actual > 0""")
 def policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
