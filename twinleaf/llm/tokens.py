@@ -18,7 +18,9 @@ import pyarrow.compute as pc
 from . import textvec as tv
 
 U64 = np.uint64
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_200_000
+#: Bytes taken at a time: every slice merges its new chunks into the cache, so slices are larger than elsewhere.
+TOKEN_SLICE = 1 << 20
 #: Unicode white space outside ASCII, and the bytes that it starts with in UTF-8.
 WIDE_SPACE = "[\u0085   -     　]"
 #: Control bytes that some patterns count as white space and some do not.
@@ -178,7 +180,7 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.append(starts[1:], n)
 
 
-def encoded(batch_texts: pa.Array, path: str, end_id: int, limit: int = tv.SLICE_BYTES):
+def encoded(batch_texts: pa.Array, path: str, end_id: int, limit: int = TOKEN_SLICE):
     """(first row, end row, ids with end_id after each text, offsets of texts in them) of slices."""
     tokenizer = ChunkedTokenizer.at(path)
     texts = pc.fill_null(batch_texts.cast(pa.large_string()), "")
