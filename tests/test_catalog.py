@@ -81,3 +81,18 @@ def test_streams_of_sources(spark, tmp_path):
     job.stop()
     rows = {r.path: r for r in spark.table("fns").collect()}
     assert rows["a.py"].qualname == "f" and rows["b.py"].error.startswith("SyntaxError")
+
+
+def test_whole_queries_take_every_function(spark, tmp_path):
+    """Brute force in Python: many parts of one type and brand, of which representatives keep one."""
+    types = ["SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO", "STANDARD"]
+    rows = [(k, types[k % 3 if k < 20 else k % 6], f"Brand#{k % 2}", 50 if k % 11 == 0 else 1 + k % 4) for k in range(1, 41)]
+    spark.createDataFrame(rows, "p_partkey long, p_type string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    good = sorted((f"pkg/brand_{b[-1]}/m{k}.py", t, n) for k, t, b, n in rows if n != 50)
+    want = {(x[0], y[0]): (2 if x[2] != y[2] else None) for x in good for y in good if x[0] < y[0] and x[1] == y[1]}
+    sf = str(tmp_path)
+    assert {(r.a, r.b): r.literal_diff for r in catalog.QUERIES["whole_plugin_metadata"](spark, sf).collect()} == want
+    assert {(r.a, r.b) for r in catalog.QUERIES["whole_near_pairs"](spark, sf).collect()} == set(want)
+    got = catalog.QUERIES["whole_report_summary"](spark, sf).first()
+    assert got.asDict() == {"exact_groups": 6, "near_matches": len(want), "abstract_candidates": len(want), "scan_errors": 40 - len(good), "plugin_errors": 0}
+    assert len(want) > catalog.near_pairs(spark, sf).count()
