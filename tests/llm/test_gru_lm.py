@@ -129,3 +129,13 @@ def test_training_beats_word_frequencies_on_held_out_order():
     got = gru_lm.log_likelihoods(model, classes[test], at[250:] - at[250]).mean()
     share = np.bincount(classes[: at[250]], minlength=gru_lm.CLASSES) / at[250]
     assert got > np.log10(share[classes[test]]).mean() + 0.2
+
+
+def test_training_takes_long_documents_to_their_end(monkeypatch):
+    seen = []
+    plain = gru_lm.Model.gradients
+    monkeypatch.setattr(gru_lm.Model, "gradients", lambda self, inputs, fresh, targets, weights, state: seen.append((int(weights.sum()), int(fresh.sum()))) or plain(self, inputs, fresh, targets, weights, state))
+    sizes = np.array([5] * 60 + [4000, 900])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    gru_lm.train(np.random.default_rng(0).integers(0, 9, at[-1]).astype(np.uint8), at, epochs=2)
+    assert sum(n for n, _ in seen) == 2 * at[-1] and sum(n for _, n in seen) == 2 * len(sizes)

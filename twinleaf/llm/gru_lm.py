@@ -242,11 +242,15 @@ class Model:
         """Backpropagation through one window; the state before it is taken as given."""
         states, keep, last = self.window(inputs, fresh, state)
         steps, lanes = inputs.shape
-        logp = self.log_classes(states)
-        flat, w = targets.ravel(), weights.ravel()
-        loss = float(-(logp[np.arange(len(flat)), flat] * w).sum())
-        d = np.exp(logp)
-        d[np.arange(len(flat)), flat] -= 1
+        d = states.reshape(-1, HIDDEN) @ self.outward + self.outward_bias
+        d -= d.max(axis=1, keepdims=True)
+        flat, w, spot = targets.ravel(), weights.ravel(), np.arange(targets.size)
+        aim = d[spot, flat]
+        np.exp(d, out=d)
+        whole = d.sum(axis=1)
+        loss = float(((np.log(whole) - aim) * w).sum())
+        d /= whole[:, None]
+        d[spot, flat] -= 1
         d *= (w / max(w.sum(), 1))[:, None]
         out = {n: np.zeros_like(getattr(self, n)) for n in self.names}
         out["outward"] = states.reshape(-1, HIDDEN).T @ d
@@ -269,7 +273,9 @@ class Model:
             put[t, :, : 2 * HIDDEN], put[t, :, 2 * HIDDEN :] = gate, dc
         flat_put = put.reshape(-1, 3 * HIDDEN)
         table = np.zeros((CLASSES + 1, 3 * HIDDEN), np.float32)
-        np.add.at(table, inputs.ravel(), flat_put)
+        came = np.argsort(inputs, axis=None, kind="stable")
+        kinds, first = np.unique(inputs.ravel()[came], return_index=True)
+        table[kinds] = np.add.reduceat(flat_put[came], first, axis=0)
         out["inward"], out["inward_bias"], out["embedding"] = self.embedding.T @ table, table.sum(axis=0), table @ self.inward.T
         return loss, out, last
 
@@ -307,38 +313,62 @@ def grid(classes: np.ndarray, at: np.ndarray, dealt: list[list[int]]) -> tuple[n
     return inputs, targets, fresh, where
 
 
+class Adam:
+    """Moments of a model's gradients, and its steps."""
+
+    def __init__(self, model: Model):
+        self.first = {n: np.zeros_like(getattr(model, n)) for n in model.names}
+        self.second = {n: np.zeros_like(getattr(model, n)) for n in model.names}
+        self.step = 0
+
+    def apply(self, model: Model, grads: dict[str, np.ndarray], share: float, pace: float) -> None:
+        """share: the tokens that the gradients are a mean of, of those of a full window."""
+        self.step += 1
+        size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        shrink = float(min(1.0, 1.0 / max(size, 1e-9)) * share)
+        for n, g in grads.items():
+            g = g * shrink
+            self.first[n] += 0.1 * (g - self.first[n])
+            self.second[n] += 0.01 * (g * g - self.second[n])
+            setattr(model, n, (getattr(model, n) - pace * (self.first[n] / (1 - 0.9**self.step)) / (np.sqrt(self.second[n] / (1 - 0.99**self.step)) + 1e-6)).astype(np.float32))
+
+
+def descend(model: Model, adam: Adam, classes: np.ndarray, at: np.ndarray, n_lanes: int, rng: np.random.Generator, pace) -> int:
+    """One pass over every token of every document in windows of WINDOW steps, states carried; ended lanes drop out. Tokens learnt."""
+    sizes = np.diff(at)
+    dealt = [rng.permutation(x) for x in lanes(sizes, min(n_lanes, len(sizes)))]
+    order = np.concatenate(dealt)
+    to = np.concatenate([[0], np.cumsum(sizes[order])])
+    targets = classes[np.repeat(at[order] - to[:-1], sizes[order]) + np.arange(to[-1])].astype(np.int64)
+    fresh = np.zeros(len(targets), bool)
+    fresh[to[:-1]] = True
+    inputs = np.where(fresh, CLASSES, np.concatenate([[0], targets[:-1]]))
+    total = np.array([int(sizes[x].sum()) for x in dealt])
+    starts = np.cumsum(total) - total
+    state = np.zeros((len(dealt), HIDDEN), np.float32)
+    learnt = 0
+    for a in range(0, int(total[0]), WINDOW):
+        live = int((total > a).sum())  # lanes come longest first
+        steps = a + np.arange(WINDOW)[:, None]
+        ok = steps < total[:live]
+        spot = np.where(ok, starts[:live] + steps, 0)
+        n = int(ok.sum())
+        _, grads, state = model.gradients(inputs[spot], fresh[spot] & ok, targets[spot], ok.astype(np.float32), state[:live])
+        adam.apply(model, grads, n / (WINDOW * len(dealt)), pace(a / total[0]))
+        learnt += n
+    return learnt
+
+
 def train(classes: np.ndarray, at: np.ndarray, epochs: int = 3, rate: float = 0.01, n_lanes: int = 32) -> Model:
-    """Adam over windows of WINDOW steps, states carried."""
+    """Adam over windows of WINDOW steps, states carried; every epoch takes every document from its first word to its end mark."""
     model = Model()
     if len(at) < 2:
         return model
     seen = np.bincount(classes, minlength=CLASSES)
     model.outward_bias = np.log((seen + 0.5) / (seen.sum() + 0.5 * CLASSES)).astype(np.float32)
-    first = {n: np.zeros_like(getattr(model, n)) for n in model.names}
-    second = {n: np.zeros_like(getattr(model, n)) for n in model.names}
-    step = 0
-    sizes = np.diff(at)
+    adam = Adam(model)
     for epoch in range(epochs):
-        order = np.random.default_rng(epoch).permutation(len(sizes))
-        dealt: list[list[int]] = [order[i::n_lanes].tolist() for i in range(min(n_lanes, len(sizes)))]
-        inputs, targets, fresh, where = grid(classes, at, dealt)
-        state = np.zeros((len(dealt), HIDDEN), np.float32)
-        for a in range(0, len(inputs), WINDOW):
-            part = slice(a, a + WINDOW)
-            weights = (where[part] >= 0).astype(np.float32)
-            live = weights.any(axis=0)
-            if live.sum() * 4 < len(dealt):
-                break  # what is left of a few long lanes
-            _, grads, state = model.gradients(inputs[part], fresh[part], targets[part], weights, state)
-            step += 1
-            size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            shrink = min(1.0, 1.0 / max(size, 1e-9))
-            pace = rate * (1 - step * WINDOW / (epochs * len(inputs) + WINDOW) * 0.8)
-            for n, g in grads.items():
-                g = g * shrink
-                first[n] += 0.1 * (g - first[n])
-                second[n] += 0.01 * (g * g - second[n])
-                setattr(model, n, (getattr(model, n) - pace * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-6)).astype(np.float32))
+        descend(model, adam, classes, at, n_lanes, np.random.default_rng(epoch), lambda done, epoch=epoch: rate * (1 - (epoch + done) / epochs * 0.8))
     return model
 
 
