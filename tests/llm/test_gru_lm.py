@@ -139,3 +139,27 @@ def test_training_takes_long_documents_to_their_end(monkeypatch):
     at = np.concatenate([[0], np.cumsum(sizes)])
     gru_lm.train(np.random.default_rng(0).integers(0, 9, at[-1]).astype(np.uint8), at, epochs=2)
     assert sum(n for n, _ in seen) == 2 * at[-1] and sum(n for _, n in seen) == 2 * len(sizes)
+
+
+def test_weights_are_learnt_from_all_training_documents(spark, monkeypatch):
+    """From a first model of no document at all, so that what is learnt comes from the rounds alone."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        own = [rng.randint(0, 4)]
+        while len(own) < 3000:
+            own.append((own[-1] + 1) % 5 if rng.random() < 0.9 else rng.randint(0, 4))
+        rows.append((None if i == 7 else i, " ".join("abcde"[x] for x in own)))
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string"), split_key("doc_id", 10) == 0
+    seen = []
+    plain = gru_lm.learn
+    monkeypatch.setattr(gru_lm, "learn", lambda *a: seen.append(plain(*a)) or seen[-1])
+    mean = (F.sum("score") / F.sum("n_tokens")).alias("m")
+    got = gru_lm.score(docs, held, sample=0).agg(mean, (F.sum("base_score") / F.sum("n_tokens")).alias("base"), F.max("train_tokens").alias("n")).first()
+    assert seen[0][1] == got.n > 100000
+    monkeypatch.setattr(gru_lm, "learn", lambda docs, held, vocabulary, model, *a: (model, 0))
+    start = gru_lm.score(docs, held, sample=0).agg(mean).first()
+    assert got.m > start.m + 1
+    assert got.m > got.base

@@ -8,8 +8,9 @@ The output factors into p(class | state) * p(word | class). The end mark and the
 are classed by their last bytes. The softmax over classes comes from the recurrent state; a word's share of its class comes from the
 corpus counts, absolutely discounted, and what is discounted is the share of all words of the class never seen in training.
 
-The recurrent part is trained in numpy by truncated backpropagation on about `sample` training documents at most; states are carried from
-window to window and reset between documents. Scoring runs many documents side by side, each from its first word to its end mark, however
+The recurrent part is trained in numpy by truncated backpropagation on all training documents; states are carried from window to window
+and reset between documents. It starts from weights learnt on about `sample` of them. In each round every task then goes on from the
+weights so far over its own documents of the round, a lesson at a time, and the tasks' weights are written out and averaged by tokens. Scoring runs many documents side by side, each from its first word to its end mark, however
 many windows that takes.
 
 Edge cases: null and empty texts are their end mark alone; without any training document all counts are 0 and classes are equally likely;
@@ -18,6 +19,7 @@ repeated rows count as often as they occur and get equal scores; an empty table
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections.abc import Iterator
 from functools import partial
@@ -40,6 +42,8 @@ SEGMENT_TOP = 2 * TOP
 END = U64(0xE2D0F5E2D0F5E2D0)
 HIDDEN, EMBEDDED = 24, 16
 WINDOW, LANES = 32, 256
+#: Rounds of averaging, each over its own share of the training documents, and the tokens that a task learns from at a time.
+ROUNDS, LESSON = 2, 1 << 20
 
 
 def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -434,6 +438,55 @@ def _score(batches: Iterator[pa.RecordBatch], shared, id_kind: pa.DataType) -> I
         yield out()
 
 
+@frugal
+def _learn(batches: Iterator[pa.RecordBatch], shared, seed: int, rate: float) -> Iterator[pa.RecordBatch]:
+    """One row: the weights after the task's documents, and the tokens learnt from."""
+    vocabulary, start = shared.value
+    model = copy.deepcopy(start)
+    adam, rng = Adam(model), np.random.default_rng([seed, TaskContext.get().partitionId()])
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = learnt = 0
+
+    def lesson() -> int:
+        at = np.concatenate([[0], np.cumsum(np.concatenate([x[1] for x in held]))])
+        return descend(model, adam, np.concatenate([x[0] for x in held]), at, LANES, rng, lambda _: rate)
+
+    for batch in batches:
+        for _, _, data, offsets in tv.slices(batch.column(0)):
+            hashes, endings, at = tokenise(data, offsets)
+            held.append((vocabulary.classes(endings, hashes), np.diff(at)))
+            size += len(hashes)
+            if size >= LESSON:
+                learnt += lesson()
+                held, size = [], 0
+    if held:
+        learnt += lesson()
+    if learnt:
+        flat = np.concatenate([getattr(model, n).ravel() for n in model.names]).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([learnt], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["tokens", "weights"])
+
+
+def learn(docs: DataFrame, held_out: Column, vocabulary: Vocabulary, model: Model, text_col: str = "text", id_col: str = "doc_id", rate: float = 0.004) -> tuple[Model, int]:
+    """The model after all training documents, each in one round, and the tokens learnt from."""
+    spark, learnt = docs.sparkSession, 0
+    for number in range(ROUNDS):
+        own = docs.where(~held_out).where(F.pmod(F.xxhash64(id_col), F.lit(ROUNDS)) == number).select(F.coalesce(text_col, F.lit("")).alias("t"))
+        shared = spark.sparkContext.broadcast((vocabulary, model))
+        done = materialise(own.mapInArrow(partial(_learn, shared=shared, seed=number, rate=rate / (number + 1)), "tokens long, weights binary"), "weights")
+        total, sums = 0, 0.0
+        for row in done.toLocalIterator():  # one file's rows at a time
+            total, sums = total + row.tokens, sums + row.tokens * np.frombuffer(row.weights, "<f4").astype(np.float64)
+        shared.unpersist()
+        if total:
+            model, at = copy.deepcopy(model), 0
+            for n in model.names:
+                old = getattr(model, n)
+                setattr(model, n, (sums[at : at + old.size] / total).reshape(old.shape).astype(np.float32))
+                at += old.size
+        learnt += total
+    return model, learnt
+
+
 def training_texts(docs: DataFrame, text_col: str, id_col: str, held_out: Column, sample: int) -> list[str]:
     """About `sample` texts at most of those that are not held out, spread by a hash of their ids."""
     rows = docs.where(~held_out)
@@ -463,6 +516,7 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
         classes.append(vocabulary.classes(endings, hashes))
         at += (cuts[1:] + at[-1]).tolist()
     model = train(np.concatenate([*classes, np.zeros(0, np.uint8)]), np.array(at))
+    model, _ = learn(docs, held_out, vocabulary, model, text_col, id_col)
     shared = spark.sparkContext.broadcast((vocabulary, model))
     blocks = answered.where("block >= 0").repartition(parts, "block").sortWithinPartitions("block", "seg")
     out = blocks.mapInArrow(partial(_score, shared=shared, id_kind=arrow), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
