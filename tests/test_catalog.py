@@ -96,3 +96,5 @@ def test_whole_queries_take_every_function(spark, tmp_path):
     got = catalog.QUERIES["whole_report_summary"](spark, sf).first()
     assert got.asDict() == {"exact_groups": 6, "near_matches": len(want), "abstract_candidates": len(want), "scan_errors": 40 - len(good), "plugin_errors": 0}
     assert len(want) > catalog.near_pairs(spark, sf).count()
+    broken = catalog.QUERIES["whole_policy_violations"](spark, sf).collect()
+    assert [tuple(r) for r in broken] == [("exact_groups", 6, 2), ("abstract_candidates", len(want), 0), ("scan_errors", 40 - len(good), 0)]

@@ -384,7 +384,7 @@ def report_summary(spark: SparkSession, sf_dir: str, of: Corpus = corpora.repres
     scan = engine.Scan(corpora.generated(of(spark, sf_dir)), normal=(True, True))
     near = engine.near_matches(scan, 0.8)
     exact = engine.exact_groups(scan).agg(F.count("*").alias("exact_groups"))
-    pairs_ = near.agg(F.count("*").alias("near_matches"), F.count_if(F.col("suggested_refactor_kind") != "leave_separate").alias("abstract_candidates"), F.coalesce(F.sum(F.size("plugin_errors")), F.lit(0)).alias("plugin_errors"))
+    pairs_ = near.agg(F.count("*").alias("near_matches"), F.count_if(F.col("suggested_refactor_kind") != "leave_separate").alias("abstract_candidates"), F.size(F.array_distinct(F.flatten(F.collect_set("plugin_errors")))).cast("long").alias("plugin_errors"))
     errors = scan.errors().agg(F.count("*").alias("scan_errors"))
     # three tables of one row
     return exact.join(pairs_, F.lit(True)).join(errors, F.lit(True)).select("exact_groups", "near_matches", "abstract_candidates", "scan_errors", "plugin_errors")
@@ -452,6 +452,16 @@ def policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("category", "actual", "allowed")
 
 
+@query(f"""{REPS.replace(REPRESENTATIVES, EVERY_PART)}, c AS (SELECT (SELECT count(*) FROM (SELECT 1 FROM r GROUP BY p_type HAVING count(*) > 1)) AS groups, (SELECT count(*) FROM p) AS pairs, (SELECT count(*) FROM part WHERE p_size = 50) AS errors)
+SELECT 'exact_groups' AS category, groups AS actual, CAST(2 AS BIGINT) AS allowed FROM c WHERE groups > 2
+UNION ALL SELECT 'abstract_candidates', pairs, CAST(0 AS BIGINT) FROM c WHERE pairs > 0
+UNION ALL SELECT 'scan_errors', errors, CAST(0 AS BIGINT) FROM c WHERE errors > 0""")
+def whole_policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the check command finds: exact, near and abstraction counts and errors, all of one scan over all parts."""
+    counts = report_summary(spark, sf_dir, of=parts)
+    return policy.violations(counts, policy.CheckConfig(max_exact_groups=2)).select("category", "actual", "allowed")
+
+
 @query("""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')) AS escaped FROM documents""")
 def escape_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpora.table(spark, sf_dir, "documents")
