@@ -6,6 +6,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders of materialised tables, for those that are still referred to.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back.
 
@@ -66,7 +71,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     ship(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes materialised tables that nothing will read again: all that was made from them is written already."""
+    for df in tables:
+        path = None if df is None else _folders.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def split_key(column: str, modulus: int) -> Column:
