@@ -5,14 +5,14 @@
 2. A document of n shingles can only link if at least t*n of them are repeated; only such documents go on. Equal sets become one class.
 3. Shingles are ordered from rare to common. Classes of equal size and equal prefix (of n - ceil(t*n) + 1 shingles) form a group;
    only groups are posted under their prefix shingles and joined.
-4. First each group meets one leader for the shingle lists it shares; verified links give components. In the rounds that follow, each
-   list that spans components brings one group of each of them before some of a component drawn by its size, and of each two components
+4. First each group meets one leader for the shingle lists it shares; verified links give components. Lists inside one component are
+   done and dropped, after this and after each round. In the rounds that follow, each list that still spans components brings one group of each of them before some of a component drawn by its size, and of each two components
    the closest pair is verified. After these rounds, which only spare work, every list that still spans components gives all its group pairs outside its largest component;
    pairs pass size, position and bitmap filters, are expanded to members of different components and verified.
    Pairs inside a component need no test: the result is the components.
 
 So a list of copies or near copies costs as many pairs as members, no pair that could join two components is left out, and what is
-linked is decided by exact counts. Hashes have 48 bits and those of the segment number.
+linked is decided by exact counts. Tables that nothing reads any more are deleted as the join goes on. Hashes have 48 bits and those of the segment number.
 
 Edge cases: texts of fewer words than a shingle have one shingle of all words; without words (or null) there is none and no link;
 rows are documents, also rows of one id; ties go to the smallest id; an empty table gives an empty result.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .shared import frugal, materialise, parallelism, ship
+from .shared import discard, frugal, materialise, parallelism, release, ship
 
 U64 = np.uint64
 LOW = 48
@@ -80,7 +80,7 @@ def unpack48(blob, segment: int) -> np.ndarray:
 @frugal
 def _segments(batches: Iterator[pa.RecordBatch], k: int, bits: int, id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows of a block: one with its documents (ids set), and one for each segment with packed keys and documents' counts."""
-    base, number = TaskContext.get().partitionId() << 12, 0
+    base, number = TaskContext.get().partitionId() << 20, 0
     held: list[tuple] = []
     size = 0
     names = ["deal", "seg", "block", "ids", "marks", "sizes", "keys"]
@@ -264,10 +264,21 @@ def near_enough(x: str, y: str) -> Column:
     return overlap_fits((F.col(f"{x}.repeated") + F.col(f"{y}.repeated") - least) / 2, F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels after links between labels."""
-    joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return materialise(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+def renamed(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """rows with their `label` after changes (label, to)."""
+    others = [c for c in rows.columns if c != "label"]
+    return rows.join(changes, "label", "left").select(*others, F.coalesce("to", "label").alias("label"))
+
+
+def changes_of(links: DataFrame) -> DataFrame:
+    """label, to: the new label of every label that links join to others."""
+    return components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
+
+
+def spanning(lists: DataFrame) -> DataFrame:
+    """Rows of the lists (kind, token) whose nodes lie in more than one component."""
+    mixed = lists.groupBy("kind", "token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("kind", "token")
+    return lists.join(mixed, ["kind", "token"], "left_semi")
 
 
 class Join:
@@ -284,11 +295,13 @@ class Join:
         arrow_id = to_arrow_type(docs.schema[id_col].dataType)
         rows = docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
         lists = f"ids array<{self.id_kind}>, marks array<long>, sizes binary, keys binary"
-        dealt = rows.mapInArrow(partial(_segments, k=words, bits=bits, id_kind=arrow_id), f"deal int, seg int, block long, {lists}").repartition(parts, "deal").sortWithinPartitions("deal", "seg")
+        dealt = rows.mapInArrow(partial(_segments, k=words, bits=bits, id_kind=arrow_id), f"deal int, seg int, block long, {lists}").repartitionById(parts, "deal").sortWithinPartitions("deal", "seg")
         answered = dealt.mapInArrow(partial(_repeated, id_kind=arrow_id), f"block long, seg int, {lists}, rare binary")
         schema = f"node long, id {self.id_kind}, mark long, n long, print1 long, print2 long, repeated long, keys binary, prefix array<long>, " + ", ".join(f"m{i} long" for i in range(MAP_LONGS))
         whole = answered.repartition(parts, "block").sortWithinPartitions("block", "seg")
         self.nodes = materialise(whole.mapInArrow(partial(_documents, id_kind=arrow_id), schema), "documents")
+        del dealt, answered, whole
+        release(self.spark)
         able = self.nodes.where("keys IS NOT NULL")
         self.prints = materialise(able.groupBy("print1", "print2", "n").agg(F.min("node").alias("cls"), F.count("*").alias("copies")), "classes")
         classes = able.join(self.prints.select(F.col("cls").alias("node")), "node", "left_semi")
@@ -301,9 +314,12 @@ class Join:
         spread = self.classes.where("node <> gid").alias("x").join(first.alias("y"), F.col("x.gid") == F.col("y.gid")).groupBy("x.gid").agg(F.max(apart("x", "y")).alias("radius"))
         # no member's bitmap is further than the radius from its head's
         self.heads = materialise(first.join(spread, "gid", "left").withColumn("radius", F.coalesce("radius", F.lit(0))), "heads")
-        heads = self.classes.where("node = gid").select("gid", "n", "repeated", F.posexplode("prefix").alias("pos", "token"))
+        posted = self.classes.where("node = gid").select("gid", "n", "repeated", F.posexplode("prefix").alias("pos", "token"))
         # what can still be shared from this shingle on: later ones are at least as common
-        self.postings = materialise(heads.select("gid", "n", "token", (F.col("repeated") - F.col("pos")).alias("rest")), "postings")
+        posted = posted.select("gid", "n", "token", (F.col("repeated") - F.col("pos")).alias("rest"))
+        # a list of one group joins nothing
+        often = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+        self.postings = materialise(posted.join(often, "token", "left_semi"), "postings")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """pairs a, b of classes that are similar."""
@@ -321,18 +337,15 @@ class Join:
         best = met.groupBy("gid").agg(F.max(F.struct("c", (-F.col("r")).alias("r"), "lead")).alias("m")).select(F.col("gid").alias("a"), F.col("m.lead").alias("b"))
         return best.union(self.classes.where("node <> gid").select(F.col("node").alias("a"), F.col("gid").alias("b")))
 
-    def labelled_lists(self, span: DataFrame) -> DataFrame:
-        """Postings of the lists whose groups (span: gid, low, high) lie in more than one component."""
-        lists = self.postings.join(span, "gid")
-        mixed = lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-        return lists.join(mixed, "token", "left_semi")
-
-    def meetings(self, labels: DataFrame, salt: int) -> DataFrame:
-        """a, b, la, lb: classes that meet in a list of heads or in a group, one pair for each two components."""
+    def open_lists(self, labels: DataFrame) -> DataFrame:
+        """kind, token, node, n, label of what lists of heads and groups of members hold, where they span components."""
         heads = self.postings.select(F.lit(0).alias("kind"), "token", F.col("gid").alias("node"), "n")
         groups = self.heads.where("radius > 0").select("gid")
         inside = self.classes.join(groups, "gid", "left_semi").select(F.lit(1).alias("kind"), F.col("gid").alias("token"), "node", "n")
-        lists = heads.unionByName(inside).join(labels, "node")
+        return materialise(spanning(heads.unionByName(inside).join(labels, "node")), "open-lists")
+
+    def meetings(self, lists: DataFrame, salt: int) -> DataFrame:
+        """a, b, la, lb: classes that meet in an open list, one pair for each two components."""
         drawn = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(salt * 8 + k)).alias("r"), "node", "n"))
         reps = lists.groupBy("kind", "token", "label").agg(F.count("*").alias("c"), *(drawn(k).alias(f"x{k}") for k in range(DRAWS)))
         reps = materialise(reps, "meeting")
@@ -345,13 +358,18 @@ class Join:
         x, y = bitmaps.alias("x"), bitmaps.alias("y")
         close = met.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(near_enough("x", "y"))
         best = close.groupBy(F.least("la", "lb").alias("p"), F.greatest("la", "lb").alias("q")).agg(F.min(F.struct(apart("x", "y").alias("d"), "a", "b", "la", "lb")).alias("m"))
-        return materialise(best.select("m.a", "m.b", "m.la", "m.lb"), "meetings")
+        best = materialise(best.select("m.a", "m.b", "m.la", "m.lb"), "meetings")
+        discard(reps)
+        return best
 
-    def crossing_pairs(self, labels: DataFrame) -> DataFrame:
+    def crossing_pairs(self, labels: DataFrame, open_: DataFrame) -> DataFrame:
         """All pairs of classes in different components that share a prefix shingle or a group and pass the filters."""
         members = materialise(self.classes.join(labels, "node").select("node", "gid", "n", "repeated", "label", F.lit(0).alias("radius"), *(f"m{i}" for i in range(MAP_LONGS))), "members")
         span = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        lists = self.labelled_lists(span).join(self.heads.drop("n"), "gid")
+        # lists whose heads span components, and those with a group that does
+        mixed = self.postings.join(span.where("low <> high").select("gid"), "gid", "left_semi").select("token")
+        tokens = open_.where("kind = 0").select("token").union(mixed).distinct()
+        lists = self.postings.join(tokens, "token", "left_semi").join(span, "gid").join(self.heads.drop("n"), "gid")
         lists = materialise(lists, "lists")
         pure = lists.where("low = high").groupBy("token", "low").agg(F.count("*").alias("c"))
         largest = pure.groupBy("token").agg(F.max(F.struct("c", "low")).alias("m")).select("token", F.col("m.low").alias("main"))
@@ -364,37 +382,57 @@ class Join:
         inner = span.where("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
         x, y = members.alias("x"), members.alias("y")
         pairs = groups.union(inner).join(x, F.col("ga") == F.col("x.gid")).join(y, (F.col("gb") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & near_enough("x", "y"))
-        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        pairs = materialise(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+        discard(members, lists)
+        return pairs
 
     def labels(self) -> DataFrame:
         """node, label of every class: the smallest class that links lead to."""
         every = self.classes.select("node")
-        labels = materialise(every.join(components(self.verified(self.leader_pairs())), "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+        links = self.verified(self.leader_pairs())
+        found = components(links)
+        labels = materialise(every.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+        discard(links, found)
+        lists = self.open_lists(labels)
         for salt in range(ROUNDS):
-            met = self.meetings(labels, salt)
-            linked = met.join(self.verified(met.select("a", "b")), ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-            linked = materialise(linked, "linked")
+            met = self.meetings(lists, salt)
+            links = self.verified(met.select("a", "b"))
+            linked = materialise(met.join(links, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")), "linked")
+            discard(met, links)
             if not linked.limit(1).count():
+                discard(linked)
                 break
-            labels = merged(labels, linked)
-        more = self.verified(materialise(self.crossing_pairs(labels), "pairs"))
-        if not more.limit(1).count():
-            return labels
+            labels, lists = self._joined(labels, lists, linked)
+        pairs = self.crossing_pairs(labels, lists)
+        more = self.verified(pairs)
         ends = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         linked = more.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b")
-        return merged(labels, linked.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        linked = materialise(linked.select(F.col("la").alias("a"), F.col("lb").alias("b")), "linked")
+        discard(pairs, more)
+        return self._joined(labels, lists, linked)[0]
+
+    def _joined(self, labels: DataFrame, lists: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """labels and open lists after links between labels; the tables they are made from go."""
+        changes = changes_of(linked)
+        after = materialise(renamed(labels, changes), "labels"), materialise(spanning(renamed(lists, changes)), "open-lists")
+        discard(labels, lists, linked, changes)
+        return after
 
     def resolved(self) -> DataFrame:
-        """node, id, mark, n, component: the smallest id of the documents linked with it, and `first`: its smallest (id, mark)."""
+        """id, mark, n, component: the smallest id of the documents linked with it, and `first`: its smallest (id, mark)."""
         own = F.struct("id", "mark")
         able = self.nodes.where("keys IS NOT NULL").select("id", "mark", "print1", "print2", "n")
         least = able.groupBy("print1", "print2", "n").agg(F.min(own).alias("least")).join(self.prints, ["print1", "print2", "n"])
         named = least.join(self.labels().select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         named = materialise(named.select("print1", "print2", "n", "label", "least"), "named")
+        discard(self.prints, self.classes, self.heads, self.postings)
         firsts = named.groupBy("label").agg(F.min("least").alias("first"))
         found = named.join(firsts, "label").select("print1", "print2", "n", "first")
         every = self.nodes.select("node", "id", "mark", "n", "print1", "print2")
-        return every.join(found, ["print1", "print2", "n"], "left").select("node", "id", "mark", "n", F.coalesce("first", own).alias("first")).withColumn("component", F.col("first.id"))
+        out = every.join(found, ["print1", "print2", "n"], "left").select("id", "mark", "n", F.coalesce("first", own).alias("first")).withColumn("component", F.col("first.id"))
+        out = materialise(out, "components")
+        discard(self.nodes, named)
+        return out
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

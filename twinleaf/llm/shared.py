@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 import weakref
@@ -86,6 +87,19 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def kept(view: DataFrame, table: DataFrame) -> DataFrame:
+    """view, to be discarded instead of the materialised table that it reads."""
+    if table in _folders:
+        _folders[view] = _folders.pop(table)
+    return view
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished queries now: it does so when the driver's JVM collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def split_key(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo; null counts as the empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
