@@ -108,7 +108,7 @@ def test_packing_edge_cases(nothing, awkward, clashing):
 @pytest.mark.parametrize("histogram", [{}, {1: 1}, {1024: 5}, {600: 7, 500: 3, 424: 9}, {513: 10}, {341: 30, 342: 30, 1: 100}])
 def test_configurations_cover_exactly(histogram):
     used = {}
-    for copies, times in packing.configurations(histogram, 1024, rounds=50):
+    for copies, times in packing.configurations(histogram, 1024)[0]:
         assert times > 0 and sum(s * n for s, n in copies.items()) <= 1024
         for s, n in copies.items():
             used[s] = used.get(s, 0) + n * times
@@ -129,7 +129,22 @@ def test_packing_is_about_as_dense_as_best_fit():
             else:
                 best += 1
                 rooms[1024 - s] += 1
-    assert sum(n for _, n in packing.configurations(histogram, 1024)) <= best * 1.005 + 1
+    assert sum(n for _, n in packing.configurations(histogram, 1024)[0]) <= best * 1.005 + 1
+
+
+def test_the_program_covers_all_and_places_most_pieces():
+    rng = np.random.default_rng(4)
+    lengths, counts = np.unique(np.minimum(rng.lognormal(6, 1, 16000).astype(int) + 1, 1024), return_counts=True)
+    covered = np.zeros(len(lengths))
+    for places, copies, amount in packing.fractional(lengths, counts, 1024):
+        assert copies @ lengths[places] <= 1024
+        covered[places] += amount * copies
+    assert (covered >= counts * (1 - 1e-6)).all()
+    histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    out, rounded = packing.configurations(histogram, 1024)
+    short = sum(n for s, n in histogram.items() if s < 1024)
+    assert sum(sum(c.values()) * n for c, n in out[:rounded] if 1024 not in c) >= 0.9 * short
+    assert sum(n for _, n in out) <= -(-sum(s * n for s, n in histogram.items()) // 1024) * 1.001 + 2
 
 
 def test_knapsack_and_fill_against_enumeration():
@@ -144,8 +159,11 @@ def test_knapsack_and_fill_against_enumeration():
                 return 0.0
             return max(price[i] * n + best(i + 1, left - n * sizes[i], price, most) for n in range(min(left // sizes[i], most[i]) + 1))
 
-        got = packing.knapsack(values, sizes, room)
-        assert got @ sizes <= room and abs(got @ values - best(0, room, values, [99] * len(sizes))) < 1e-9
+        values_of, pick = packing.knapsack(values, sizes, room)
+        held = packing.taken(pick, sizes, room)
+        assert sum(sizes[i] * n for i, n in held.items()) <= room
+        want = best(0, room, values, [99] * len(sizes))
+        assert abs(sum(values[i] * n for i, n in held.items()) - want) < 1e-9 and abs(values_of[room] - want) < 1e-9
         left = rng.integers(0, 3, len(sizes))
         got = packing.fill(sizes, left, room)
         assert (got <= left).all() and got @ sizes == round(best(0, room, sizes, left))

@@ -1,11 +1,11 @@
 """Best-fit packing of token pieces into fixed-capacity sequences, by a configuration linear program.
 
 The length histogram (at most `capacity` rows) is all the driver sees. The covering program over configurations (which
-lengths share a sequence) is solved by multiplicative weights: each round the dynamic-programming knapsack prices the
-configuration of most weight, and lengths that are covered lose weight. The fractional solution is rounded down. What is
-left, about as many sequences as there are configurations, is packed in two ways, of which the one with fewer sequences counts:
-best-fit by falling length, or the longest length left plus the best fill of the rest of the sequence, as often as that goes.
-Tasks then place pieces by their rank within their length, so no task ever holds more than its own pieces.
+lengths share a sequence) is solved by multiplicative weights: each round a dynamic-programming knapsack prices configurations,
+and lengths that are covered lose weight, until all are. The fractional solution is rounded to full sequences, and the program is
+solved again for what that leaves while this places a good part of it. The rest is filled configuration by configuration: the longest
+length left with the best fill of the rest of the sequence, as often as that goes. Tasks then place pieces by their rank within their
+length, so no task ever holds more than its own pieces.
 
 Edge cases: a null text is empty and still has its end id; a piece that fills a sequence alone is not packed; repeated
 rows are packed separately; an empty table gives an empty result.
@@ -27,31 +27,36 @@ from . import tokens
 from .shared import frugal, materialise, ship
 
 END_ID = 2
-LONG_FIRST = 0.3
-#: Pieces that rounding may leave to be packed one by one; more are packed a configuration at a time.
-SMALL_REST = 50_000
+#: Of the covering program: how much of a length a round covers at most, how far below the best a configuration may be priced, and the bonus of long pieces.
+STEP, SLACK, LONG_FIRST = 0.5, 0.2, 0.3
+#: The program is solved again while rounding places at least this part of what was left.
+GOOD_PART = 0.2
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each size (ascending, distinct) of most total value within capacity, any number of each."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
+def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each room up to capacity: the most total value of sizes (ascending, distinct, any number of each), and the size taken first or -1."""
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    ends = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        n = int(np.searchsorted(sizes, room, "right"))
-        best[room] = best[room - 1]
+        best[room], n = best[room - 1], ends[room]
         if n:
             total = best[room - sizes[:n]] + values[:n]
-            i = int(np.argmax(total))
+            i = int(total.argmax())
             if total[i] > best[room] + 1e-15:
                 best[room], pick[room] = total[i], i
-    out = np.zeros(len(sizes), np.int64)
-    room = capacity
+    return best, pick
+
+
+def taken(pick: np.ndarray, sizes: np.ndarray, room: int) -> dict[int, int]:
+    """Copies of each size (by its place) in the best filling of a room."""
+    out: dict[int, int] = {}
     while room > 0:
-        if pick[room] < 0:
+        i = int(pick[room])
+        if i < 0:
             room -= 1
         else:
-            out[pick[room]] += 1
-            room -= sizes[pick[room]]
+            out[i] = out.get(i, 0) + 1
+            room -= int(sizes[i])
     return out
 
 
@@ -79,36 +84,35 @@ def fill(sizes: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = 600, step: float = 0.2) -> list[tuple[dict[int, int], int]]:
-    """(copies of each length in one sequence, number of such sequences); their total is exactly the histogram."""
+def configurations(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """((copies of each length in one sequence, number of such sequences), ...), their total exactly the histogram; how many come from the program.
+
+    The program is solved for what is left and rounded down, full sequences only and each at least once, as long as that places a good part
+    of what is left. What then remains is filled one configuration at a time.
+    """
     sizes = np.array(sorted(s for s, n in histogram.items() if n > 0), np.int64)
     left = np.array([histogram[int(s)] for s in sizes], np.int64)
     out: list[tuple[dict[int, int], int]] = []
 
-    def use(copies: np.ndarray, times: int) -> None:
-        nonlocal left
+    def use(places: np.ndarray, copies: np.ndarray, most: int) -> None:
+        times = min(most, int((left[places] // copies).min()))
         if times > 0:
-            left = left - copies * times
-            out.append(({int(sizes[i]): int(copies[i]) for i in np.flatnonzero(copies)}, int(times)))
-
-    if len(sizes):
-        weights = fractional(sizes, left, capacity, rounds, step)
-        # a configuration with room left is not rounded in: what it would hold fills other sequences better
-        for copies, amount in sorted(weights, key=lambda x: -x[1]):
-            if int(copies @ sizes) < capacity:
-                continue
-            on = copies > 0
-            use(copies, min(int(amount), int((left[on] // copies[on]).min())))
-    while left.sum() > SMALL_REST:
-        use(*fullest(sizes, left, capacity))
-    rest = left
-    by_length = best_fit({int(s): int(n) for s, n in zip(sizes, rest, strict=True) if n}, capacity)
+            left[places] -= copies * times
+            out.append(({int(sizes[i]): int(n) for i, n in zip(places, copies, strict=True)}, times))
+
+    while left.any():
+        before, on = int(left.sum()), np.flatnonzero(left)
+        for places, copies, amount in sorted(fractional(sizes[on], left[on], capacity), key=lambda x: -x[2]):
+            if int(copies @ sizes[on][places]) == capacity:
+                use(on[places], copies, max(1, int(amount)))
+        if before - int(left.sum()) < GOOD_PART * before:
+            break
     rounded = len(out)
     while left.any():
-        use(*fullest(sizes, left, capacity))
-    if sum(n for _, n in by_length) <= sum(n for _, n in out[rounded:]):
-        out[rounded:] = by_length
-    return out
+        copies, times = fullest(sizes, left, capacity)
+        places = np.flatnonzero(copies)
+        use(places, copies[places], times)
+    return out, rounded
 
 
 def fullest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -122,49 +126,39 @@ def fullest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndar
     return copies, int((left[on] // copies[on]).min())
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """What rounding leaves, longest first, each into the fullest sequence that takes it."""
-    rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
-    open_rooms = np.zeros(capacity + 1, bool)
-    contents: list[dict[int, int]] = []
-    for size in sorted(histogram, reverse=True):
-        for _ in range(histogram[size]):
-            free = int(open_rooms[size:].argmax()) + size
-            if open_rooms[free]:
-                at = rooms[free].pop()
-                open_rooms[free] = bool(rooms[free])
-            else:
-                at, free = len(contents), capacity
-                contents.append({})
-            contents[at][size] = contents[at].get(size, 0) + 1
-            rooms[free - size].append(at)
-            open_rooms[free - size] = True
-    alike: dict[tuple, int] = {}
-    for held in contents:
-        key = tuple(sorted(held.items()))
-        alike[key] = alike.get(key, 0) + 1
-    return [(dict(key), times) for key, times in alike.items()]
-
-
-def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[np.ndarray, float]]:
-    """Multiplicative weights for the covering program: configurations and how often each is used."""
+def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Multiplicative weights for the covering program, until every length is covered: (places in sizes, copies, how often) of configurations.
+
+    A round prices with one dynamic program and takes, of the configurations within SLACK of the best, as many as share no length.
+    """
     covered = np.zeros(len(sizes))
-    used: dict[bytes, list] = {}
-    for _ in range(rounds):
-        live = covered < 1
-        if not live.any():
-            break
+    used: dict[tuple, float] = {}
+    while (covered < 1 - 1e-9).any():
+        live = np.flatnonzero(covered < 1 - 1e-9)
+        own = sizes[live]
         # a piece weighs its tokens, less as its length is covered, and somewhat more if it is long: short ones fill gaps later
-        weight = np.where(live, np.exp(-covered / step), 0.0) * sizes * (1 + LONG_FIRST * sizes / capacity)
-        copies = knapsack(weight, sizes, capacity)
-        on = copies > 0
-        # a configuration cannot use more copies than there are
-        copies[on] = np.minimum(copies[on], demand[on])
-        amount = step * float((demand[on] / copies[on]).min())
-        covered[on] += amount * copies[on] / demand[on]
-        used.setdefault(copies.tobytes(), [copies, 0.0])[1] += amount
-    over = max(1.0, float(covered.max(initial=0)))
-    return [(copies, amount / over if over > 1 else amount) for copies, amount in used.values()]
+        weight = np.exp(-covered[live] / STEP) * own * (1 + LONG_FIRST * own / capacity)
+        best, pick = knapsack(weight, own, capacity)
+        value = weight + best[capacity - own]  # of the best configuration with each length
+        busy = np.zeros(len(live), bool)
+        for i in np.argsort(-value, kind="stable").tolist():
+            if value[i] < (1 - SLACK) * best[capacity]:
+                break
+            if busy[i]:
+                continue
+            held = taken(pick, own, capacity - int(own[i]))
+            held[i] = held.get(i, 0) + 1
+            places = np.array(sorted(held))
+            if busy[places].any():
+                continue
+            busy[places] = True
+            wanted = demand[live[places]]
+            copies = np.minimum([held[int(j)] for j in places], wanted)  # there are no more
+            amount = STEP * float((wanted / copies).min())
+            covered[live[places]] += amount * copies / wanted
+            key = tuple(live[places].tolist()), tuple(copies.tolist())
+            used[key] = used.get(key, 0.0) + amount
+    return [(np.array(places), np.array(copies), amount) for (places, copies), amount in used.items()]
 
 
 class Plan:
@@ -240,7 +234,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     pieces = materialise(pieces, "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(Plan(configurations(histogram, capacity)))
+    plan = spark.sparkContext.broadcast(Plan(configurations(histogram, capacity)[0]))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     ranked = pieces.join(counts.select(F.col("length").alias("l"), F.col("part").alias("p"), before.alias("before")), (F.col("length") == F.col("l")) & (F.col("part") == F.col("p")))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
