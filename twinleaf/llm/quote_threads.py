@@ -1,12 +1,16 @@
 """Chat formatting: quotation linking and reply-ordered conversations without quotes.
 
 Each line's quote level is the number of its leading '>' marks. A message's own lines are those of level 0; a run of quoted lines
-of one level is a passage. Passages and lines are normalised (A-Z lower-cased, white space collapsed) and hashed; a quoted line belongs
-to the latest earlier message of the conversation that has it as an own line. A message answers the message that most of its level-1
-lines belong to (then the latest); deeper levels count only where level 1 names none. A line of own text that announces a quote
+of one level is a passage. A passage is normalised (A-Z lower-cased, white space and line ends collapsed) and hashed by all its windows of
+WORDS words; own texts are hashed likewise, so whatever run of words of an own text a passage quotes, however it is wrapped, all its hashes
+are among the text's. A shorter passage is hashed line by line. It belongs to the latest earlier message of the conversation that has all
+its hashes, which is found by descending: the bound falls to the earliest of the latest messages that have each hash, until they agree or
+some hash has none. Only where no message has all, each quoted line counts for the
+latest earlier message that has it as an own line. A message answers the message that most of its level-1 passages (by hashes), or else
+lines, belong to (then the latest); deeper levels count only where level 1 names none. A line of own text that announces a quote
 ("... wrote:") goes with the quote.
 
-Both sides of the match are reduced to distinct (conversation, hash, turn) rows before they meet, and the latest earlier turn is found
+Both sides of the match are reduced to distinct (conversation, hash, turn) rows of conversations with quotes before they meet, and the latest earlier turn is found
 over ranges of turns, so a line that everyone quotes or a conversation with a third of all messages stays in small pieces. Threads are
 resolved by pointer jumping. The result is range-partitioned by (conversation, thread, turn), which is the reply order: a message,
 then all that answers it directly or indirectly, by turn; `position` numbers it within the conversation.
@@ -17,6 +21,7 @@ linked alike and ordered by role and text; other columns are not returned; an em
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -27,12 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import frugal, materialise, parallelism, ship
+from .shared import discard, frugal, materialise, parallelism, ship
 
 MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 ANNOUNCES = re.compile(r"wrote:\s*$", re.IGNORECASE | re.ASCII)
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RANGE = 1024
+#: Words of a window of a passage.
+WORDS = 4
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -63,6 +70,31 @@ def parse(text: str) -> tuple[str, list[str], list[tuple[int, str]]]:
     return "\n".join(own).strip("\n") if quoted else text, [x for x in lines if x], [x for x in quoted if x[1]]
 
 
+def passages(text: str) -> list[tuple[int, list[str]]]:
+    """(level, normalised lines that are not blank) of each run of quoted lines of one level."""
+    out: list[tuple[int, list[str]]] = []
+    last = 0
+    for level, line in levels(text):
+        if level:
+            if level != last:
+                out.append((level, []))
+            if words := normalise(line):
+                out[-1][1].append(words)
+        last = level
+    return [x for x in out if x[1]]
+
+
+def windows(texts: list[str]) -> list[np.ndarray]:
+    """The distinct hashes of each text's windows of WORDS words."""
+    data = [x.encode() for x in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data], dtype=np.int64)])
+    h, _, _, at = tv.words(np.frombuffer(b"".join(data), np.uint8), offsets)
+    if len(h) < WORDS:
+        return [np.zeros(0, np.int64)] * len(texts)
+    grams = tv.ngram_hashes(h, WORDS).view(np.int64)
+    return [np.unique(grams[a : max(a, b - WORDS + 1)]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _hash(lines: list[str]) -> np.ndarray:
     data = [x.encode() for x in lines]
     ends = np.cumsum([len(x) for x in data], dtype=np.int64)
@@ -71,43 +103,78 @@ def _hash(lines: list[str]) -> np.ndarray:
 
 @frugal
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Appends the own text, hashes of own lines (distinct), and hashes and levels of quoted lines."""
+    """Appends the own text, hashes of own lines and of its windows (distinct), hashes and levels of quoted lines, and passages by their hashes."""
+    names = ["conv_id", "turn", "role", "body", "lines", "quoted", "levels", "passages"]
     for batch in batches:
-        own, lines, quoted, level = [], [], [], []
+        own, lines, quoted, level, held = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             body, mine, theirs = parse(text or "")
             own.append(body)
-            lines.append(np.unique(_hash(mine)))
+            lines.append(_hash(mine))
             quoted.append(_hash([x for _, x in theirs]))
             level.append([n for n, _ in theirs])
+            held.append(passages(text) if theirs else [])
+        prints = windows(own)
+        of_passages = iter(windows([" ".join(x) for found in held for _, x in found]))
+        keyed = []
+        for found in held:
+            both = [(n, next(of_passages), x) for n, x in found]
+            keyed.append([{"level": n, "keys": keys if len(keys) else np.unique(_hash(x))} for n, keys, x in both])
         many = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), pa.array(own, pa.string()), pa.array(lines, many), pa.array(quoted, many), pa.array(level, pa.list_(pa.int32()))], ["conv_id", "turn", "role", "body", "lines", "quoted", "levels"])
+        every = [np.unique(np.concatenate([x, y])) for x, y in zip(lines, prints, strict=True)]
+        columns = [pa.array(own, pa.string()), pa.array(every, many), pa.array(quoted, many), pa.array(level, pa.list_(pa.int32())), pa.array(keyed, pa.list_(pa.struct([("level", pa.int32()), ("keys", many)])))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *columns], names)
 
 
-def latest_before(asked: DataFrame, given: DataFrame) -> DataFrame:
-    """asked, given: distinct conv_id, h, turn. conv_id, h, turn of asked with `found`: the largest smaller turn of given.
+def latest(asked: DataFrame, given: DataFrame) -> DataFrame:
+    """asked: distinct conv_id, h, turn, kind (1: before the turn, -1: up to it); given: distinct conv_id, h, turn.
 
-    Within a range of turns the rows of a hash are few (distinct turns); across ranges only each range's largest turn is carried.
+    asked with `found`, the largest such turn of given, where there is one. Within a range of turns the rows of a hash are few (distinct
+    turns); across ranges only each range's largest turn is carried.
     """
     keys = ["conv_id", "h"]
-    ranged = lambda df, kind: df.select(*keys, "turn", F.floor(F.col("turn") / RANGE).alias("range"), F.lit(kind).alias("kind"))
-    rows = ranged(asked, 1).unionByName(ranged(given, 0))
+    ranged = lambda df, kind: df.select(*keys, "turn", F.floor(F.col("turn") / RANGE).alias("range"), kind.alias("kind"))
+    rows = ranged(asked, F.col("kind")).unionByName(ranged(given, F.lit(0)))
     inside = Window.partitionBy(*keys, "range").orderBy("turn", F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max(F.when(F.col("kind") == 0, F.col("turn"))).over(inside))
     tops = rows.groupBy(*keys, "range").agg(F.max(F.when(F.col("kind") == 0, F.col("turn"))).alias("top"))
     tops = tops.withColumn("carried", F.max("top").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).drop("top")
-    out = near.where("kind = 1").join(tops, [*keys, "range"]).select(*keys, "turn", F.coalesce("near", "carried").alias("found"))
+    out = near.where("kind <> 0").join(tops, [*keys, "range"]).select(*keys, "turn", "kind", F.coalesce("near", "carried").alias("found"))
     return out.where("found IS NOT NULL")
 
 
+def passage_links(asks: DataFrame, given: DataFrame) -> DataFrame:
+    """asks: distinct conv_id, turn, level, keys. conv_id, turn, level, n (hashes), found: the latest earlier turn that has them all."""
+    done, names = [], ["conv_id", "turn", "level", "keys"]
+    open_ = materialise(asks.select(*names, F.xxhash64("level", "keys").alias("pid"), F.col("turn").alias("bound"), F.lit(1).alias("kind")), "passages")
+    while True:
+        each = open_.select("conv_id", "turn", "pid", F.explode("keys").alias("h"), "bound", "kind")
+        found = latest(each.select("conv_id", "h", F.col("bound").alias("turn"), "kind").distinct(), given).withColumnRenamed("turn", "bound")
+        met = each.join(found, ["conv_id", "h", "bound", "kind"]).groupBy("conv_id", "turn", "pid").agg(F.min("found").alias("low"), F.max("found").alias("high"), F.count("*").alias("n"))
+        step = open_.drop("bound", "kind").join(met, ["conv_id", "turn", "pid"]).where("n = size(keys)")
+        step = materialise(step, "passages")
+        discard(open_)
+        done.append(step.where("low = high").select("conv_id", "turn", "level", "n", F.col("low").alias("found")))
+        open_ = step.where("low < high").select(*names, "pid", F.col("low").alias("bound"), F.lit(-1).alias("kind"))
+        if not open_.limit(1).count():
+            return functools.reduce(DataFrame.unionByName, done)
+        open_ = materialise(open_, "passages")
+
+
 def reply_links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to of turns that quote an earlier one."""
-    given = parsed.select("conv_id", "turn", F.explode("lines").alias("h")).where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
-    quotes = parsed.select("conv_id", "turn", F.explode(F.arrays_zip("quoted", "levels")).alias("q")).select("conv_id", "turn", F.col("q.quoted").alias("h"), F.col("q.levels").alias("level"))
-    quotes = quotes.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn", "h").agg(F.min("level").alias("level"), F.count("*").alias("n"))
-    found = latest_before(quotes.select("conv_id", "h", "turn"), given)
-    votes = quotes.join(found, ["conv_id", "h", "turn"]).groupBy("conv_id", "turn", "found").agg(F.min("level").alias("level"), F.sum("n").alias("n"))
-    order = F.struct((-F.col("level")).alias("level"), "n", "found")
+    rows = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    quoting = rows.where("size(quoted) > 0")
+    with_quotes = rows.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
+    given = materialise(with_quotes.select("conv_id", "turn", F.explode("lines").alias("h")).distinct(), "own-hashes")
+    asks = quoting.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.keys").distinct()
+    by_passage = passage_links(asks, given).withColumn("whole", F.lit(1))
+    quotes = quoting.select("conv_id", "turn", F.explode(F.arrays_zip("quoted", "levels")).alias("q")).select("conv_id", "turn", F.col("q.quoted").alias("h"), F.col("q.levels").alias("level"))
+    quotes = quotes.groupBy("conv_id", "turn", "h").agg(F.min("level").alias("level"), F.count("*").alias("n"))
+    found = latest(quotes.select("conv_id", "h", "turn", F.lit(1).alias("kind")), given).drop("kind")
+    by_line = quotes.join(found, ["conv_id", "h", "turn"]).select("conv_id", "turn", "level", "n", "found", F.lit(0).alias("whole"))
+    votes = by_passage.unionByName(by_line).groupBy("conv_id", "turn", "found", "whole").agg(F.min("level").alias("level"), F.sum("n").alias("n"))
+    order = F.struct((-F.col("level")).alias("level"), "whole", "n", "found")
     return votes.groupBy("conv_id", "turn").agg(F.max(order).alias("m")).select("conv_id", "turn", F.col("m.found").alias("reply_to"))
 
 
@@ -141,7 +208,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     ship(spark)
     kinds = {c: messages.schema[c].dataType.simpleString() for c in ("conv_id", "turn", "role")}
     head = ", ".join(f"{c} {k}" for c, k in kinds.items())
-    parsed = materialise(messages.select("conv_id", "turn", "role", "text").mapInArrow(_parse, f"{head}, body string, lines array<long>, quoted array<long>, levels array<int>"), "messages")
+    parsed = materialise(messages.select("conv_id", "turn", "role", "text").mapInArrow(_parse, f"{head}, body string, lines array<long>, quoted array<long>, levels array<int>, passages array<struct<level:int,keys:array<long>>>"), "messages")
     linked = threads(reply_links(parsed))
     rows = parsed.join(linked, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "body", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.size("quoted").cast("long").alias("n_quoted"))
     order = ["conv_id", "thread", "turn", "role", "body"]
