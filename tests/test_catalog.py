@@ -5,7 +5,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from twinleaf.plans import catalog
+from twinleaf.plans import catalog, corpora, engine
+from twinleaf.sources.tables import from_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,18 +84,34 @@ def test_streams_of_sources(spark, tmp_path):
     assert rows["a.py"].qualname == "f" and rows["b.py"].error.startswith("SyntaxError")
 
 
-def test_whole_queries_take_every_function(spark, tmp_path):
-    """Brute force in Python: many parts of one type and brand, of which representatives keep one."""
+def test_near_queries_take_every_function(spark, tmp_path):
+    """Brute force in Python: many parts of one type and brand; links of kinds add up to all pairs."""
     types = ["SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO", "STANDARD"]
     rows = [(k, types[k % 3 if k < 20 else k % 6], f"Brand#{k % 2}", 50 if k % 11 == 0 else 1 + k % 4) for k in range(1, 41)]
     spark.createDataFrame(rows, "p_partkey long, p_type string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
-    good = sorted((f"pkg/brand_{b[-1]}/m{k}.py", t, n) for k, t, b, n in rows if n != 50)
-    want = {(x[0], y[0]): (2 if x[2] != y[2] else None) for x in good for y in good if x[0] < y[0] and x[1] == y[1]}
+    good = sorted((f"pkg/brand_{b[-1]}/m{k}.py", t) for k, t, b, n in rows if n != 50)
+    want = {(x[0], y[0]) for x in good for y in good if x[0] < y[0] and x[1] == y[1]}
     sf = str(tmp_path)
-    assert {(r.a, r.b): r.literal_diff for r in catalog.QUERIES["whole_plugin_metadata"](spark, sf).collect()} == want
-    assert {(r.a, r.b) for r in catalog.QUERIES["whole_near_pairs"](spark, sf).collect()} == set(want)
-    got = catalog.QUERIES["whole_report_summary"](spark, sf).first()
-    assert got.asDict() == {"exact_groups": 6, "near_matches": len(want), "abstract_candidates": len(want), "scan_errors": 40 - len(good), "plugin_errors": 0}
-    assert len(want) > catalog.near_pairs(spark, sf).count()
-    broken = catalog.QUERIES["whole_policy_violations"](spark, sf).collect()
-    assert [tuple(r) for r in broken] == [("exact_groups", 6, 2), ("abstract_candidates", len(want), 0), ("scan_errors", 40 - len(good), 0)]
+    scan = engine.Scan(corpora.generated(spark.read.parquet(f"{sf}/part.parquet")), canonical=False)
+    assert {(r.a.path, r.b.path) for r in engine.near_matches(scan, 0.8).collect()} == want
+    near = catalog.QUERIES["near_pairs"](spark, sf).collect()
+    assert sum(r.links for r in near) == len(want) and {(r.a, r.b) for r in near} <= want
+    got = {r.path: (r.kind, r.links) for r in catalog.QUERIES["near_members"](spark, sf).collect()}
+    assert got == {p: (min(q for q, u in good if u == t), sum(u == t for _, u in good) - 1) for p, t in good}
+    counts = catalog.QUERIES["report_summary"](spark, sf).first()
+    assert counts.asDict() == {"exact_groups": 6, "near_matches": len(want), "abstract_candidates": len(want), "scan_errors": 40 - len(good), "plugin_errors": 0}
+
+
+def test_kinds_stand_for_all_similar_pairs(spark):
+    """Functions of many shapes, some alike across kinds: expanded kinds are the pairs of near_matches."""
+    bodies = ["    return normalize(x, 1)", "    return normalize(x, 2)", "    y = f(x)\n    return y", "    y = f(x)\n    z = f(y)\n    return z", "    y = f(x)\n    z = g(y)\n    return z", "    for i in x:\n        yield i", "    return lambda t: (x, t)"]
+    rows = [(f"m{i}.py", f"def f{i}(x):\n{bodies[i % len(bodies)]}\n") for i in range(30)]
+    scan = engine.Scan(from_table(spark.createDataFrame(rows, "path string, src string")), canonical=False)
+    kind = {r.path: r.like.path for r in engine.near_members(scan, 0.6).collect()}
+    similar = {(r.a.path, r.b.path): r.links for r in engine.near_kinds(scan, 0.6).collect()}
+    kinds = {frozenset((kind[a], kind[b])) for a, b in similar}
+    pairs = {(r.a.path, r.b.path) for r in engine.near_matches(scan, 0.6).collect()}
+    every = [(a, b) for a, _ in rows for b, _ in rows if a < b]
+    assert pairs == {(a, b) for a, b in every if frozenset((kind[a], kind[b])) in kinds}
+    assert sum(similar.values()) == len(pairs) and len(kinds) > len(set(kind.values()))
+    assert {r.path: r.links for r in engine.near_members(scan, 0.6).collect()} == {a: sum(a in p for p in pairs) for a, _ in rows}

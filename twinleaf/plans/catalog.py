@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +15,6 @@ from ..schema import EVIDENCE
 from ..sources.tables import scan_key
 from . import corpora, engine, policy, sinks
 
-Corpus = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -32,23 +29,6 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(*changes: tuple[str, str]):
-    """Registers whole_<name> as well: the same over the functions of all parts, with the SQL's representatives replaced by all parts."""
-
-    def add(fn):
-        name = f"whole_{fn.__name__}"
-        QUERIES[name] = partial(fn, of=parts)
-        sql = ORACLE_SQL[fn.__name__]
-        for old, new in ((REPRESENTATIVES, EVERY_PART), *changes):
-            if old not in sql:
-                raise ValueError(f"{name}: the SQL has no {old}")
-            sql = sql.replace(old, new)
-        ORACLE_SQL[name] = sql
-        return fn
-
-    return add
-
-
 NAME = "lower(replace(p_brand, '#', '_'))"
 PATH = f"'pkg/' || {NAME} || '/m' || p_partkey || '.py'"
 
@@ -270,13 +250,11 @@ def upper_bound_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.withColumn("bound", bound).where("bound >= 0.75D").select(a("user_id").alias("a"), b("user_id").alias("b"), "bound")
 
 
-REPRESENTATIVES = "SELECT p_type, lower(replace(p_brand, '#', '_')) AS l, min(p_partkey) AS k, min(p_size) AS n FROM part WHERE p_size <> 50 GROUP BY p_type, p_brand"
-EVERY_PART = "SELECT p_type, lower(replace(p_brand, '#', '_')) AS l, p_partkey AS k, p_size AS n FROM part WHERE p_size <> 50"
-
-#: Representatives in scan order, with what decides a pair of one type.
-REPS = f"""WITH f AS (SELECT p_type, lower(replace(p_brand, '#', '_')) AS l, min(p_partkey) AS k, min(p_size) AS n FROM part WHERE p_size <> 50 GROUP BY p_type, p_brand),
-r AS (SELECT *, 'pkg/' || l || '/m' || k || '.py' AS path, {FUNCTION_NAME.replace('p_partkey', 'k')} AS qualname FROM f),
-p AS (SELECT x.p_type, x.path AS a, y.path AS b, x.qualname AS qa, y.qualname AS qb, x.n AS na, y.n AS nb, x.l AS la, y.l AS lb FROM r x JOIN r y ON x.p_type = y.p_type AND x.path < y.path)"""
+#: All functions in scan order; p: the first two of each kind (here a kind is a template), and how many pairs they stand for.
+REPS = f"""WITH r AS (SELECT p_type, {NAME} AS l, p_partkey AS k, p_size AS n, {PATH} AS path, {FUNCTION_NAME} AS qualname FROM part WHERE p_size <> 50),
+f AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY path) AS place, count(*) OVER (PARTITION BY p_type) AS members FROM r),
+p AS (SELECT x.p_type, x.path AS a, y.path AS b, x.qualname AS qa, y.qualname AS qb, x.n AS na, y.n AS nb, x.l AS la, y.l AS lb, x.members * (x.members - 1) // 2 AS links
+ FROM f x JOIN f y ON x.p_type = y.p_type AND x.place = 1 AND y.place = 2)"""
 
 SIMILARITY = "0.4::DOUBLE + 0.2::DOUBLE + 0.15::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE * CASE p_type WHEN 'MEDIUM' THEN 0.85::DOUBLE ELSE 0.0::DOUBLE END + 0.05::DOUBLE * CASE p_type WHEN 'LARGE' THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END"
 LABELS = "CASE p_type WHEN 'MEDIUM' THEN 'wrapper,' WHEN 'LARGE' THEN 'partial_application,' ELSE '' END || 'renamed_locals,' || CASE WHEN na <> nb THEN 'literal_specialization,' ELSE '' END || 'extract_helper_candidate'"
@@ -296,17 +274,23 @@ REFACTOR = """least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::
  + (CASE p_type WHEN 'MEDIUM' THEN 0.05::DOUBLE WHEN 'LARGE' THEN 0.04::DOUBLE WHEN 'STANDARD' THEN -0.05::DOUBLE ELSE 0 END + CASE WHEN na <> nb THEN 0.03::DOUBLE ELSE 0 END + 0.05::DOUBLE)))"""
 
 
-def near_generated(spark: SparkSession, sf_dir: str, threshold: float = 0.8, top_k: int | None = None, of: Corpus = corpora.representatives) -> DataFrame:
-    scan = engine.Scan(corpora.generated(of(spark, sf_dir)), canonical=False)
-    return engine.near_matches(scan, threshold, top_k)
+def near_generated(spark: SparkSession, sf_dir: str, threshold: float = 0.8, top_k: int | None = None) -> DataFrame:
+    """Similar kinds of the functions of all parts."""
+    return engine.near_kinds(engine.Scan(corpora.generated(parts(spark, sf_dir)), canonical=False), threshold, top_k)
+
+
+@query("""SELECT path, min(path) OVER (PARTITION BY p_type) AS kind, count(*) OVER (PARTITION BY p_type) - 1 AS links FROM (SELECT p_type, """ + PATH + """ AS path FROM part WHERE p_size <> 50)""")
+def near_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every function, the first one of its kind, and how many functions are similar to it."""
+    rows = engine.near_members(engine.Scan(corpora.generated(parts(spark, sf_dir)), canonical=False))
+    return rows.select("path", F.col("like.path").alias("kind"), "links")
 
 
-@whole()
 @query(f"""{REPS} SELECT a, b, round({SIMILARITY}, 4) AS similarity, round({REFACTOR}, 4) AS refactorability, {LABELS} AS labels, {RISKS} AS risks, '' AS differences,
- {SUMMARY} AS summary, {SUGGESTED} AS suggested, {TEMPLATE} AS template FROM p""")
-def near_pairs(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
+ {SUMMARY} AS summary, {SUGGESTED} AS suggested, {TEMPLATE} AS template, links FROM p""")
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda c: F.array_join(c, ",")
-    return near_generated(spark, sf_dir, of=of).select(
+    return near_generated(spark, sf_dir).select(
         F.col("a.path").alias("a"),
         F.col("b.path").alias("b"),
         F.col("similarity_score").alias("similarity"),
@@ -317,23 +301,22 @@ def near_pairs(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representa
         F.col("shared_structure_summary").alias("summary"),
         F.col("suggested_refactor_kind").alias("suggested"),
         F.col("abstract_template").alias("template"),
+        "links",
     )
 
 
-@whole()
 @query(f"""{REPS} SELECT a, b, 1.0::DOUBLE AS shape, 1.0::DOUBLE AS stmt, 1.0::DOUBLE AS call, 1.0::DOUBLE AS signature,
  CASE p_type WHEN 'MEDIUM' THEN 0.85::DOUBLE ELSE 0.0::DOUBLE END AS wrapper, CASE p_type WHEN 'LARGE' THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS curry, 1.0::DOUBLE AS size_ratio FROM p""")
-def near_evidence(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
+def near_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("shape", "stmt", "call", "signature", "wrapper", "curry")
-    rows = near_generated(spark, sf_dir, of=of)
+    rows = near_generated(spark, sf_dir)
     return rows.select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), *(F.col(f"evidence.{e}").alias(n) for e, n in zip(EVIDENCE, names, strict=True)), F.col("metadata.size_ratio").alias("size_ratio"))
 
 
-@whole()
 @query(f"""{REPS} SELECT a, b, CASE p_type WHEN 'MEDIUM' THEN 'normalize' END AS wrapper_target, CASE p_type WHEN 'LARGE' THEN CAST(1 AS INTEGER) END AS curry_depth,
  CASE p_type WHEN 'STANDARD' THEN 'fh.write,open' END AS calls, CASE WHEN na <> nb THEN CAST(2 AS INTEGER) END AS literal_diff FROM p""")
-def plugin_metadata(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
-    return near_generated(spark, sf_dir, of=of).select(
+def plugin_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_generated(spark, sf_dir).select(
         F.col("a.path").alias("a"),
         F.col("b.path").alias("b"),
         F.col("metadata.wrapper.b_wrapper_target").alias("wrapper_target"),
@@ -350,12 +333,11 @@ def _touchy(a: dict, b: dict, evidence: dict) -> dict | None:
     return {"labels": ["seen"], "metadata": {"lines": a["source"].count("\n") + 1}} if a["is_wrapper"] else None
 
 
-@whole()
 @query(f"""{REPS} SELECT a, b, CASE p_type WHEN 'LARGE' THEN 'touchy: RuntimeError: lambda' ELSE '' END AS errors, p_type = 'MEDIUM' AS seen,
  CASE p_type WHEN 'MEDIUM' THEN '{{"lines": 2}}' END AS said FROM p""")
-def plugin_error_isolation(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
-    scan = engine.Scan(corpora.generated(of(spark, sf_dir)), canonical=False, source=True)
-    rows = engine.near_matches(scan, 0.8, None, (*BUILT_IN, PythonPlugin("touchy", _touchy)))
+def plugin_error_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan = engine.Scan(corpora.generated(parts(spark, sf_dir)), canonical=False, source=True)
+    rows = engine.near_kinds(scan, 0.8, None, (*BUILT_IN, PythonPlugin("touchy", _touchy)))
     return rows.select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), F.array_join("plugin_errors", ",").alias("errors"), F.array_contains("pattern_labels", "seen").alias("seen"), F.try_element_at("metadata.custom", F.lit("touchy")).alias("said"))
 
 
@@ -363,70 +345,62 @@ RANKED = f"{REPS}, q AS (SELECT a, b, round({SIMILARITY}, 4) AS similarity, roun
 RANK_ORDER = "ORDER BY refactorability DESC, similarity DESC, a, b"
 
 
-@whole()
-@query(f"{RANKED} SELECT a, b FROM q {RANK_ORDER} LIMIT 100")
-def near_topk(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
-    return near_generated(spark, sf_dir, top_k=100, of=of).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"))
+@query(f"{RANKED} SELECT a, b FROM q {RANK_ORDER} LIMIT 3")
+def near_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_generated(spark, sf_dir, top_k=3).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"))
 
 
-@whole()
-@query(f"SELECT a, b, suggested FROM ({RANKED} SELECT a, b, suggested FROM q {RANK_ORDER} LIMIT 100) WHERE suggested <> 'leave_separate'")
-def abstract_topk_then_filter(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
-    rows = engine.worth_merging(near_generated(spark, sf_dir, top_k=100, of=of))
+@query(f"SELECT a, b, suggested FROM ({RANKED} SELECT a, b, suggested FROM q {RANK_ORDER} LIMIT 3) WHERE suggested <> 'leave_separate'")
+def abstract_topk_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = engine.worth_merging(near_generated(spark, sf_dir, top_k=3))
     return rows.select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), F.col("suggested_refactor_kind").alias("suggested"))
 
 
-@whole(("CAST(0 AS BIGINT) AS scan_errors", "(SELECT count(*) FROM part WHERE p_size = 50) AS scan_errors"))
 @query(f"""{REPS}, g AS (SELECT p_type FROM r GROUP BY 1 HAVING count(*) > 1)
-SELECT (SELECT count(*) FROM g) AS exact_groups, (SELECT count(*) FROM p) AS near_matches, (SELECT count(*) FROM p) AS abstract_candidates, CAST(0 AS BIGINT) AS scan_errors, CAST(0 AS BIGINT) AS plugin_errors""")
-def report_summary(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
-    """Counts of all findings, as the check command judges them."""
-    scan = engine.Scan(corpora.generated(of(spark, sf_dir)), normal=(True, True))
-    near = engine.near_matches(scan, 0.8)
+SELECT (SELECT count(*) FROM g) AS exact_groups, (SELECT CAST(sum(links) AS BIGINT) FROM p) AS near_matches, (SELECT CAST(sum(links) AS BIGINT) FROM p) AS abstract_candidates, (SELECT count(*) FROM part WHERE p_size = 50) AS scan_errors, CAST(0 AS BIGINT) AS plugin_errors""")
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all findings, as the check command judges them; pairs by the kinds they are of."""
+    scan = engine.Scan(corpora.generated(parts(spark, sf_dir)), normal=(True, True))
+    near = engine.near_kinds(scan, 0.8)
     exact = engine.exact_groups(scan).agg(F.count("*").alias("exact_groups"))
-    pairs_ = near.agg(F.count("*").alias("near_matches"), F.count_if(F.col("suggested_refactor_kind") != "leave_separate").alias("abstract_candidates"), F.size(F.array_distinct(F.flatten(F.collect_set("plugin_errors")))).cast("long").alias("plugin_errors"))
+    pairs_ = near.agg(F.sum("links").alias("near_matches"), F.sum(F.when(F.col("suggested_refactor_kind") != "leave_separate", F.col("links"))).alias("abstract_candidates"), F.size(F.array_distinct(F.flatten(F.collect_set("plugin_errors")))).cast("long").alias("plugin_errors"))
     errors = scan.errors().agg(F.count("*").alias("scan_errors"))
     # three tables of one row
     return exact.join(pairs_, F.lit(True)).join(errors, F.lit(True)).select("exact_groups", "near_matches", "abstract_candidates", "scan_errors", "plugin_errors")
 
 
-@whole()
 @query(f"{REPS} SELECT a, b FROM p WHERE p_type IN ('MEDIUM', 'LARGE')")
-def near_threshold(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
+def near_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Above what call-free copies can reach, only wrapper and lambda pairs are left."""
-    return near_generated(spark, sf_dir, 0.86, of=of).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"))
+    return near_generated(spark, sf_dir, 0.86).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"))
 
 
-@whole()
 @query(f"{RANKED} SELECT row_number() OVER ({RANK_ORDER}) AS rank, a, b FROM q")
-def near_rank(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
-    rows = near_generated(spark, sf_dir, of=of).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), (-F.col("refactorability_score")).alias("r"), (-F.col("similarity_score")).alias("s"))
+def near_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_generated(spark, sf_dir).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), (-F.col("refactorability_score")).alias("r"), (-F.col("similarity_score")).alias("s"))
     return global_rank(rows, ["r", "s", "a", "b"]).select("rank", "a", "b")
 
 
-@whole()
 @query(f"{RANKED} SELECT a, b, suggested FROM q WHERE suggested <> 'leave_separate'")
-def abstract_filter(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
-    rows = engine.worth_merging(near_generated(spark, sf_dir, of=of))
+def abstract_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = engine.worth_merging(near_generated(spark, sf_dir))
     return rows.select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), F.col("suggested_refactor_kind").alias("suggested"))
 
 
-@whole()
 @query(f"""{RANKED}, g AS (SELECT p_type, count(*) AS n, string_agg(qualname, ',' ORDER BY path) AS names FROM r GROUP BY 1 HAVING count(*) > 1)
 SELECT 'exact' AS section, n AS size, names AS what FROM g UNION ALL SELECT 'near', CAST(NULL AS BIGINT), a || ' ' || b FROM (SELECT a, b FROM q {RANK_ORDER} LIMIT 5)""")
-def showcase_rows(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
+def showcase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All exact groups by their names, and the five best pairs."""
-    scan = engine.Scan(corpora.generated(of(spark, sf_dir)), normal=(True, True))
+    scan = engine.Scan(corpora.generated(parts(spark, sf_dir)), normal=(True, True))
     exact = engine.exact_groups(scan).select(F.lit("exact").alias("section"), F.col("count").alias("size"), F.array_join(F.transform("occurrences", lambda o: o.qualname), ",").alias("what"))
-    near = engine.near_matches(scan, 0.8, 5).select(F.lit("near").alias("section"), F.lit(None).cast("long").alias("size"), F.concat_ws(" ", "a.path", "b.path").alias("what"))
+    near = engine.near_kinds(scan, 0.8, 5).select(F.lit("near").alias("section"), F.lit(None).cast("long").alias("size"), F.concat_ws(" ", "a.path", "b.path").alias("what"))
     return exact.unionByName(near)
 
 
-@whole()
-@query(f"""{REPS}, g AS (SELECT p_type, count(*) AS n, string_agg(qualname, ', ' ORDER BY path) AS names FROM r GROUP BY 1 HAVING count(*) > 1)
-SELECT '::error title=twinleaf,file=' || path || ',line=1,col=1,endLine=' || {by_type(SMALL="'6'", MEDIUM="'2'", LARGE="'2'", ECONOMY="'3'", PROMO="'4'", STANDARD="'4'")} || '::Exact duplicate group (' || g.n || ' occurrences): ' || names AS line FROM r JOIN g USING (p_type)""")
-def annotations(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
-    scan = engine.Scan(corpora.generated(of(spark, sf_dir)), normal=(True, True), features=False)
+@query(f"""{REPS}, g AS (SELECT p_type, l, n, count(*) AS size, string_agg(qualname, ', ' ORDER BY path) AS names FROM r GROUP BY ALL HAVING count(*) > 1)
+SELECT '::error title=twinleaf,file=' || path || ',line=1,col=1,endLine=' || {by_type(SMALL="'6'", MEDIUM="'2'", LARGE="'2'", ECONOMY="'3'", PROMO="'4'", STANDARD="'4'")} || '::Exact duplicate group (' || g.size || ' occurrences): ' || names AS line FROM r JOIN g USING (p_type, l, n)""")
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan = engine.Scan(corpora.generated(parts(spark, sf_dir)), features=False)
     groups = engine.exact_groups(scan)
     names = F.array_join(F.transform("occurrences", lambda o: o.qualname), ", ")
     message = F.concat(F.lit("Exact duplicate group ("), F.col("count").cast("string"), F.lit(" occurrences): "), names)
@@ -441,24 +415,13 @@ def doc_token_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (SELECT 'exact_groups' AS category, (SELECT count(*) FROM (SELECT 1 FROM part WHERE p_size <> 50 GROUP BY p_type HAVING count(*) > 1)) AS actual, CAST(2 AS BIGINT) AS allowed) WHERE actual > allowed
-UNION ALL SELECT * FROM (SELECT 'scan_errors', (SELECT count(*) FROM part WHERE p_size = 50) AS actual, CAST(0 AS BIGINT)) WHERE actual > 0""")
-def policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scan = engine.Scan(corpora.generated(parts(spark, sf_dir)), normal=(True, True), features=False)
-    exact = engine.exact_groups(scan).agg(F.count("*").alias("exact_groups"))
-    errors = scan.errors().agg(F.count("*").alias("scan_errors"))
-    counts = exact.join(errors, F.lit(True)).select("exact_groups", F.lit(0).alias("near_matches"), F.lit(0).alias("abstract_candidates"), "scan_errors", F.lit(0).alias("plugin_errors"))
-    found = policy.violations(counts, policy.CheckConfig(max_exact_groups=2))
-    return found.select("category", "actual", "allowed")
-
-
-@query(f"""{REPS.replace(REPRESENTATIVES, EVERY_PART)}, c AS (SELECT (SELECT count(*) FROM (SELECT 1 FROM r GROUP BY p_type HAVING count(*) > 1)) AS groups, (SELECT count(*) FROM p) AS pairs, (SELECT count(*) FROM part WHERE p_size = 50) AS errors)
+@query(f"""{REPS}, c AS (SELECT (SELECT count(*) FROM (SELECT 1 FROM r GROUP BY p_type HAVING count(*) > 1)) AS groups, (SELECT CAST(sum(links) AS BIGINT) FROM p) AS pairs, (SELECT count(*) FROM part WHERE p_size = 50) AS errors)
 SELECT 'exact_groups' AS category, groups AS actual, CAST(2 AS BIGINT) AS allowed FROM c WHERE groups > 2
 UNION ALL SELECT 'abstract_candidates', pairs, CAST(0 AS BIGINT) FROM c WHERE pairs > 0
 UNION ALL SELECT 'scan_errors', errors, CAST(0 AS BIGINT) FROM c WHERE errors > 0""")
-def whole_policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the check command finds: exact, near and abstraction counts and errors, all of one scan over all parts."""
-    counts = report_summary(spark, sf_dir, of=parts)
+    counts = report_summary(spark, sf_dir)
     return policy.violations(counts, policy.CheckConfig(max_exact_groups=2)).select("category", "actual", "allowed")
 
 
@@ -468,39 +431,37 @@ def escape_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5(sinks.escape_column(F.col("text"), True).cast("binary")).alias("escaped"))
 
 
-@whole()
 @query(f"""{REPS} SELECT a.path AS a, b.path AS b,
  CASE WHEN a.p_type = 'MEDIUM' AND b.p_type = 'MEDIUM' THEN 0.5::DOUBLE + 0.35::DOUBLE WHEN a.p_type = 'MEDIUM' OR b.p_type = 'MEDIUM' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS wrapper,
  CASE WHEN a.p_type = 'LARGE' AND b.p_type = 'LARGE' THEN 0.8::DOUBLE WHEN a.p_type = 'LARGE' OR b.p_type = 'LARGE' THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS curry,
- 0.7::DOUBLE * (1.0::DOUBLE - abs(pa - pb) / greatest(pa, pb)) + 0.3::DOUBLE * (1.0::DOUBLE - CASE WHEN (a.p_type = 'PROMO') <> (b.p_type = 'PROMO') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN (a.p_type = 'ECONOMY') <> (b.p_type = 'ECONOMY') THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END) AS signature
-FROM (SELECT *, CASE p_type WHEN 'STANDARD' THEN 2 ELSE 1 END AS pa, {by_type(SMALL='5', MEDIUM='1', LARGE='1', ECONOMY='2', PROMO='4', STANDARD='3')} AS n1 FROM r) a JOIN (SELECT *, CASE p_type WHEN 'STANDARD' THEN 2 ELSE 1 END AS pb, {by_type(SMALL='5', MEDIUM='1', LARGE='1', ECONOMY='2', PROMO='4', STANDARD='3')} AS n2 FROM r) b
+ 0.7::DOUBLE * (1.0::DOUBLE - abs(pa - pb) / greatest(pa, pb)) + 0.3::DOUBLE * (1.0::DOUBLE - CASE WHEN (a.p_type = 'PROMO') <> (b.p_type = 'PROMO') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN (a.p_type = 'ECONOMY') <> (b.p_type = 'ECONOMY') THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END) AS signature, a.members * b.members AS pairs
+FROM (SELECT *, CASE p_type WHEN 'STANDARD' THEN 2 ELSE 1 END AS pa, {by_type(SMALL='5', MEDIUM='1', LARGE='1', ECONOMY='2', PROMO='4', STANDARD='3')} AS n1 FROM (SELECT p_type, min(path) AS path, count(*) AS members FROM r GROUP BY 1)) a JOIN (SELECT *, CASE p_type WHEN 'STANDARD' THEN 2 ELSE 1 END AS pb, {by_type(SMALL='5', MEDIUM='1', LARGE='1', ECONOMY='2', PROMO='4', STANDARD='3')} AS n2 FROM (SELECT p_type, min(path) AS path, count(*) AS members FROM r GROUP BY 1)) b
  ON a.path < b.path AND least(n1, n2) / greatest(n1, n2) >= 0.4""")
-def pair_scalar_scores(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
-    """Wrapper, currying and signature scores of all pairs in the size band."""
-    rows = parse(corpora.generated(of(spark, sf_dir))).where("error IS NULL").select("path", "stmt_count", "param_count", "has_yield", "has_await", "is_wrapper", "wrapper_target", "returns_lambda", "curry_depth")
+def pair_scalar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrapper, currying and signature scores of all pairs of kinds in the size band, by their first functions; pairs of functions they stand for."""
+    names = ["path", "stmt_count", "param_count", "has_yield", "has_await", "is_wrapper", "wrapper_target", "returns_lambda", "curry_depth", "members"]
+    rows = engine.kind_members(engine.with_kinds(functions(spark, sf_dir))).where("place = 1").select(*names)
     a, b = m.side("a"), m.side("b")
     met = pairs.band_self_join(rows, "stmt_count", a("path") < b("path"))
-    scored = met.withColumns({"wrapper": m.wrapper_score(a, b), "curry": m.curry_score(a, b), "signature": m.signature_similarity(a, b)})
-    return scored.select(a("path").alias("a"), b("path").alias("b"), "wrapper", "curry", "signature")
+    scored = met.withColumns({"wrapper": m.wrapper_score(a, b), "curry": m.curry_score(a, b), "signature": m.signature_similarity(a, b), "pairs": a("members") * b("members")})
+    return scored.select(a("path").alias("a"), b("path").alias("b"), "wrapper", "curry", "signature", "pairs")
 
 
-@whole()
 @query(f"""{REPS} SELECT a.path AS a, b.path AS b, CAST(
  CASE WHEN (a.p_type = 'STANDARD') <> (b.p_type = 'STANDARD') THEN 1 ELSE 0 END + CASE WHEN (a.p_type = 'ECONOMY') <> (b.p_type = 'ECONOMY') THEN 1 ELSE 0 END
  + CASE WHEN (a.p_type = 'PROMO') <> (b.p_type = 'PROMO') THEN 1 ELSE 0 END + CASE WHEN (a.p_type = 'MEDIUM') <> (b.p_type = 'MEDIUM') THEN 1 ELSE 0 END
  + CASE WHEN (a.p_type IN ('SMALL', 'PROMO', 'STANDARD')) <> (b.p_type IN ('SMALL', 'PROMO', 'STANDARD')) THEN 1 ELSE 0 END AS BIGINT) AS n_notes,
  concat_ws(',', CASE WHEN (a.p_type = 'ECONOMY') <> (b.p_type = 'ECONOMY') THEN 'async_boundary_diff' END, CASE WHEN a.p_type = 'STANDARD' OR b.p_type = 'STANDARD' THEN 'possible_side_effects' END,
-  CASE WHEN (a.p_type = 'PROMO') <> (b.p_type = 'PROMO') THEN 'return_shape_diff' END) AS risks
-FROM (SELECT *, {by_type(SMALL='5', MEDIUM='1', LARGE='1', ECONOMY='2', PROMO='4', STANDARD='3')} AS n1 FROM r) a JOIN (SELECT *, {by_type(SMALL='5', MEDIUM='1', LARGE='1', ECONOMY='2', PROMO='4', STANDARD='3')} AS n2 FROM r) b
+  CASE WHEN (a.p_type = 'PROMO') <> (b.p_type = 'PROMO') THEN 'return_shape_diff' END) AS risks, a.members * b.members AS pairs
+FROM (SELECT *, {by_type(SMALL='5', MEDIUM='1', LARGE='1', ECONOMY='2', PROMO='4', STANDARD='3')} AS n1 FROM (SELECT p_type, min(path) AS path, count(*) AS members FROM r GROUP BY 1)) a JOIN (SELECT *, {by_type(SMALL='5', MEDIUM='1', LARGE='1', ECONOMY='2', PROMO='4', STANDARD='3')} AS n2 FROM (SELECT p_type, min(path) AS path, count(*) AS members FROM r GROUP BY 1)) b
  ON a.path < b.path AND least(n1, n2) / greatest(n1, n2) >= 0.4""")
-def pair_notes_and_risks(spark: SparkSession, sf_dir: str, of: Corpus = corpora.representatives) -> DataFrame:
-    """Notes and risks of all pairs in the size band; ambient differences are left out of the comparison."""
-    rows = parse(corpora.generated(of(spark, sf_dir))).where("error IS NULL")
-    keys = rows.select("path", "stmt_count")
+def pair_notes_and_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes and risks of all pairs of kinds in the size band; ambient differences, which are a pair's own, are left out of the comparison."""
+    rows = engine.kind_members(engine.with_kinds(functions(spark, sf_dir))).where("place = 1").drop("scan_key")
     a, b = m.side("a"), m.side("b")
-    met = pairs.band_self_join(keys, "stmt_count", a("path") < b("path")).select(a("path").alias("pa"), b("path").alias("pb"))
-    whole = rows.select("path", F.struct(*rows.columns).alias("f"))
-    full = met.join(whole.toDF("pa", "a"), "pa").join(whole.toDF("pb", "b"), "pb")
+    met = pairs.band_self_join(rows.select("path", "stmt_count"), "stmt_count", a("path") < b("path")).select(a("path").alias("pa"), b("path").alias("pb"))
+    every = rows.select("path", F.struct(*rows.columns).alias("f"))
+    full = met.join(every.toDF("pa", "a"), "pa").join(every.toDF("pb", "b"), "pb")
     risks = F.filter(explain.risk_flags(a, b), lambda x: x != "ambient_dependency_diff")
-    told = full.withColumns({"n_notes": F.size(explain.difference_notes(a, b)).cast("long"), "risks": F.array_join(risks, ",")})
-    return told.select(F.col("pa").alias("a"), F.col("pb").alias("b"), "n_notes", "risks")
+    told = full.withColumns({"n_notes": F.size(explain.difference_notes(a, b)).cast("long"), "risks": F.array_join(risks, ","), "pairs": a("members") * b("members")})
+    return told.select(F.col("pa").alias("a"), F.col("pb").alias("b"), "n_notes", "risks", "pairs")

@@ -46,12 +46,6 @@ def generated(parts: DataFrame, path: Column | None = None, src: Column | None =
     return from_table(parts.select((where if path is None else path).alias("path"), (source_text() if src is None else src).alias("src")))
 
 
-def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One part for each type and brand, over all parts: the smallest key, and the smallest size that is not broken."""
-    parts = table(spark, sf_dir, "part").where(F.col("p_size") != BROKEN_SIZE)
-    return parts.groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.min("p_size").alias("p_size"))
-
-
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function row for each user of events: statements are event types in order of time; counters count event types."""
     events = table(spark, sf_dir, "events")

@@ -67,10 +67,11 @@ def exact_groups(scan: Scan, min_count: int = 2, include_canonical: bool = False
     return members.select("hash", "count", F.transform("m", lambda x: x.o).alias("occurrences"), "canonical").orderBy(F.desc("count"), "hash")
 
 
-def scored_pairs(functions: DataFrame, threshold: float) -> DataFrame:
-    """a, b, the six measures and `similarity` (not rounded) of pairs that reach the threshold."""
+def scored_pairs(functions: DataFrame, threshold: float, only: F.Column | None = None) -> DataFrame:
+    """a, b, the six measures and `similarity` (not rounded) of pairs that reach the threshold; `only`: a condition on the pairs."""
     a, b = m.side("a"), m.side("b")
     met = pairs.candidates(functions, threshold)
+    met = met if only is None else met.where(only)
     cheap = met.withColumns(
         {
             "shape_similarity": m.counter_jaccard(a("node_types"), b("node_types")),
@@ -94,8 +95,8 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.orderBy(*(order(name) for order, name in RANKING))
 
 
-def explained_pairs(scored: DataFrame, plugins: tuple[Plugin, ...] = BUILT_IN) -> DataFrame:
-    """Result rows of scored pairs, unordered, with `plugin_errors`."""
+def explained_pairs(scored: DataFrame, plugins: tuple[Plugin, ...] = BUILT_IN, also: tuple[F.Column, ...] = ()) -> DataFrame:
+    """Result rows of scored pairs, unordered, with `plugin_errors`; `also`: more columns of a and b."""
     a, b, e = m.side("a"), m.side("b"), lambda n: F.col(n)
     evidence = F.struct(*EVIDENCE)
     said = apply(scored, plugins, a, b, e, evidence)
@@ -124,11 +125,12 @@ def explained_pairs(scored: DataFrame, plugins: tuple[Plugin, ...] = BUILT_IN) -
         F.coalesce(own("p_template"), explain.template(a, b, labels, F.col("summary"))).alias("abstract_template"),
         F.struct(m.round4(m.size_ratio(a, b)).alias("size_ratio"), "p_metadata.*", F.col("p_custom").alias("custom")).alias("metadata"),
         F.col("p_errors").alias("plugin_errors"),
+        *also,
     )
 
 
-def near_matches(scan: Scan, threshold: float = 0.8, top_k: int | None = None, plugins: tuple[Plugin, ...] = BUILT_IN) -> DataFrame:
-    """Ranked pairs of similar functions; a is scanned before b."""
+def _near_inputs(scan: Scan, threshold: float, top_k: int | None, plugins: tuple[Plugin, ...]) -> DataFrame:
+    """What near pairs are made from, after the guards."""
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("threshold must be between 0 and 1")
     if top_k is not None and top_k < 0:
@@ -136,11 +138,69 @@ def near_matches(scan: Scan, threshold: float = 0.8, top_k: int | None = None, p
     if any(isinstance(p, PythonPlugin) for p in plugins) and not scan.source:
         raise ValueError("Python plugins read source text: scan with source=True")
     scan.check()
-    needed = ["rel", "scan_key", *OCCURRENCE, *(f for f in FEATURES), *(["source"] if scan.source else [])]
-    rows = ranked(explained_pairs(scored_pairs(scan.functions().select(*needed), threshold), plugins))
+    return scan.functions().select("rel", "scan_key", *OCCURRENCE, *FEATURES, *(["source"] if scan.source else []))
+
+
+def near_matches(scan: Scan, threshold: float = 0.8, top_k: int | None = None, plugins: tuple[Plugin, ...] = BUILT_IN) -> DataFrame:
+    """Ranked pairs of similar functions; a is scanned before b."""
+    rows = ranked(explained_pairs(scored_pairs(_near_inputs(scan, threshold, top_k, plugins), threshold), plugins))
     return rows if top_k is None else rows.limit(top_k)
 
 
+def kind_of() -> F.Column:
+    """Equal for functions that every similarity measure takes for the same."""
+    entries = lambda c: F.array_sort(F.map_entries(c))
+    read = ("stmt_seq", "param_count", "has_yield", "has_await", "is_wrapper", "wrapper_target", "returns_lambda", "curry_depth")
+    return F.sha2(F.to_json(F.struct(entries("node_types").alias("n"), entries("call_names").alias("c"), *read)), 256)
+
+
+def with_kinds(functions: DataFrame) -> DataFrame:
+    return functions.withColumn("alike", kind_of())
+
+
+def kind_members(keyed: DataFrame) -> DataFrame:
+    """The first two functions of each kind in scan order, with `place` (1, 2) and `members`, the kind's size. No kind is gathered."""
+    at = lambda c: F.struct(c("scan_key"), c("lineno"))
+    row = F.struct(*keyed.columns)
+    first = keyed.groupBy("alike").agg(F.min_by(row, at(F.col)).alias("f"), F.count("*").alias("members"))
+    later = keyed.join(first.select("alike", at(lambda c: F.col(f"f.{c}")).alias("head"), "members"), "alike").where(at(F.col) > F.col("head"))
+    second = later.groupBy("alike").agg(F.min_by(row, at(F.col)).alias("f"), F.first("members").alias("members"))
+    return first.select("f.*", "members", F.lit(1).alias("place")).unionByName(second.select("f.*", "members", F.lit(2).alias("place")))
+
+
+def _kind_pairs(members: DataFrame, threshold: float) -> tuple[DataFrame, F.Column]:
+    """(scored pairs of kinds' first functions, and of each kind's first two; how many pairs of functions each stands for)."""
+    same = F.col("a.alike") == F.col("b.alike")
+    scored = scored_pairs(members, threshold, same | ((F.col("a.place") == 1) & (F.col("b.place") == 1)))
+    n, k = F.col("a.members"), F.col("b.members")
+    return scored, F.when(same, (n * (n - 1) / 2).cast("long")).otherwise(n * k).alias("links")
+
+
+def near_kinds(scan: Scan, threshold: float = 0.8, top_k: int | None = None, plugins: tuple[Plugin, ...] = BUILT_IN) -> DataFrame:
+    """near_matches() of one pair for each two similar kinds of functions (or one kind of several), with `links`: the pairs of functions it stands for.
+
+    All functions of a kind are equally similar to those of another, so no similar pair is left out, and none is expanded; what is
+    explained is the pair's own. near_members() says what kind each function is of.
+    """
+    scored, links = _kind_pairs(kind_members(with_kinds(_near_inputs(scan, threshold, top_k, plugins))), threshold)
+    rows = ranked(explained_pairs(scored, plugins, (links,)))
+    return rows if top_k is None else rows.limit(top_k)
+
+
+def near_members(scan: Scan, threshold: float = 0.8) -> DataFrame:
+    """Every function: its occurrence's columns, `like` (the first function of its kind in scan order) and `links`, how many functions are similar to it."""
+    keyed = with_kinds(_near_inputs(scan, threshold, None, ()))
+    members = kind_members(keyed)
+    scored, _ = _kind_pairs(members, threshold)
+    ends = scored.select(F.col("a.alike").alias("x"), F.col("b.alike").alias("y"), F.col("a.members").alias("n"), F.col("b.members").alias("k"))
+    each = ends.select(F.col("x").alias("alike"), F.when(F.col("x") == F.col("y"), F.col("k") - 1).otherwise(F.col("k")).alias("l"))
+    each = each.union(ends.where("x <> y").select(F.col("y").alias("alike"), F.col("n").alias("l")))
+    links = each.groupBy("alike").agg(F.sum("l").alias("links"))
+    heads = members.where("place = 1").select("alike", F.struct("path", "lineno", "qualname").alias("first"))
+    named = heads.join(links, "alike", "left").select("alike", "first", F.coalesce("links", F.lit(0)).alias("links"))
+    return keyed.select(*OCCURRENCE, "alike").join(named, "alike").select(*OCCURRENCE, F.col("first").alias("like"), "links")
+
+
 def worth_merging(near: DataFrame) -> DataFrame:
     return near.where("suggested_refactor_kind <> 'leave_separate'")
 
