@@ -157,11 +157,18 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and scores of its k best points. Scores are summed alike whatever the block."""
+    """For each query the ids and scores of its k best points. Scores are summed alike whatever the block.
+
+    What a matrix product cannot tell from the k-th best is scored exactly, however many points that are.
+    """
+    lengths = np.sqrt((queries * queries).sum(axis=1)) * np.sqrt((points * points).sum(axis=1).max(initial=0))
+    # twice the error bound of an inner product, of both the edge and the point
+    slack = 8 * queries.shape[1] * np.finfo(np.float64).eps * lengths
     for a in range(0, len(queries), 256):
         rough = queries[a : a + 256] @ points.T
         for i, row in enumerate(rough):
-            some = best(row, ids, k + 8)
+            edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+            some = np.flatnonzero(row >= edge - slack[a + i])
             exact = (points[some] * queries[a + i]).sum(axis=1)
             order = best(exact, ids[some], k)
             yield ids[some][order], exact[order]

@@ -48,9 +48,12 @@ def frugal(fn):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """Folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="twinleaf-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

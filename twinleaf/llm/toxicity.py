@@ -31,6 +31,8 @@ DIM = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6)
+#: Sampled rows that languages are found from; their bucket counts stand in the driver's memory.
+LANGUAGE_ROWS = 3000
 LANG_BITS = 10
 #: A bucket learns only if so many training documents have it: what stands in one or two would be learnt by heart.
 LEAST_DOCUMENTS = 4
@@ -204,8 +206,11 @@ def descend(model: Model, corpus: Corpus, labels: np.ndarray, rows: np.ndarray,
 
 
 def find_languages(model: Model, corpus: Corpus, rows: np.ndarray, rounds: int = 12) -> None:
-    """Mixture of multinomials over word buckets by expectation maximisation, started from texts far apart."""
-    counts = np.stack([np.bincount(corpus.lang[i], minlength=1 << LANG_BITS) for i in rows[:3000]]).astype(np.float64)
+    """Mixture of multinomials over word buckets by expectation maximisation, started from texts far apart.
+
+    It is fitted on the first LANGUAGE_ROWS of the sampled rows, which come in the order of a hash.
+    """
+    counts = np.stack([np.bincount(corpus.lang[i], minlength=1 << LANG_BITS) for i in rows[:LANGUAGE_ROWS]]).astype(np.float64)
     common = np.argsort(-(counts > 0).sum(axis=0), kind="stable")[:300]
     share = counts[:, common] / np.maximum(counts[:, common].sum(axis=1, keepdims=True), 1)
     root = np.sqrt(share)
