@@ -23,10 +23,10 @@ def _number(kind, least, most, message):
     return parse
 
 
-min_count = _number(int, 2, None, "min-count must be >= 2")
-threshold = _number(float, 0.0, 1.0, "threshold must be between 0 and 1")
-top_k = _number(int, 0, None, "top-k must be >= 0")
-non_negative = _number(int, 0, None, "value must be >= 0")
+min_count = _number(int, 2, None, "a group has two members at least")
+threshold = _number(float, 0.0, 1.0, "expected 0 to 1")
+top_k = _number(int, 0, None, "expected 0 or more")
+non_negative = _number(int, 0, None, "expected 0 or more")
 
 
 def optional_limit(text: str) -> int | str:
@@ -46,15 +46,15 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--top-level-only", action="store_true")
         p.add_argument("--strict", action="store_true")
         p.add_argument("--format", choices=formats, default=formats[0])
-        p.add_argument("--output", help="Write JSON output to a file path. Requires --format json.")
+        p.add_argument("--output", help="file that the JSON document goes to (with --format json)")
         return p
 
-    exact = command("exact", "Find exact structural duplicates under configurable normalization.")
+    exact = command("exact", "groups of functions with one canonical form")
     exact.add_argument("-n", "--min-count", type=min_count, default=2)
     for flag in ("--normalize-local-names", "--normalize-constants", "--include-canonical"):
         exact.add_argument(flag, action="store_true")
-    command("near", "Rank structurally similar functions.", near=0.8)
-    command("abstract", "Report likely refactoring candidates.", near=0.82)
+    command("near", "similar pairs, best to merge first", near=0.8)
+    command("abstract", "similar pairs that are worth merging", near=0.82)
     report = command("report", "One document of exact, near and abstraction results.", near=0.8, k=200, formats=("json",))
     for name in ("local-names", "constants"):
         report.add_argument(f"--no-normalize-{name}", action="store_false", dest=f"normalize_{name.replace('-', '_')}")
