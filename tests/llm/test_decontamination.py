@@ -64,6 +64,19 @@ def test_clean_removes_spans_and_whole_copies(spark):
     assert set(got) == {1, 3} and long not in got[1] and got[1].startswith("q ") and got[1].endswith("after") and got[3] == "clean text stays"
 
 
+def test_clashing_columns_change_nothing(spark, awkward, clashing):
+    bench = spark.createDataFrame(items()[0], "item_id long, text string")
+    bench = bench.selectExpr("*", "1 AS i", "2 AS t", "3 AS spans")
+    told = lambda docs: sorted(map(str, dc.digest(docs, bench).collect()))
+    assert told(clashing) == told(awkward)
+
+
+def test_columns_of_any_type_are_carried(spark):
+    docs = spark.createDataFrame([(1, "one", (1, [2]))], "doc_id long, text string, extra struct<`a b`:int,`c-d`:array<int>>")
+    out = dc.clean(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
+    assert out.schema == docs.schema and out.collect() == docs.collect()
+
+
 def test_empty_tables(spark, awkward, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in dc.digest(awkward, none).collect())

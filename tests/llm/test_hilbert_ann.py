@@ -48,6 +48,26 @@ def test_small_tables_are_exact_with_copies_ties_and_bad_vectors(spark):
         assert np.allclose([s for _, s in got[q]], [s for _, s in near], atol=1e-9)
 
 
+def test_scores_that_only_rounding_tells_apart():
+    """Many more points than k whose inner products differ in the last bits."""
+    rng = np.random.default_rng(2)
+    one = rng.normal(size=16)
+    points = np.stack([rng.permutation(one) for _ in range(300)] + [rng.normal(size=16) - 1 for _ in range(50)])
+    ids = rng.permutation(len(points))
+    queries = np.stack([np.full(16, 0.1), np.full(16, 1 / 3), one])
+    for q, (near, scores) in zip(queries, hilbert_ann.nearest(queries, points, ids, 5), strict=True):
+        exact = (points * q).sum(axis=1)
+        want = np.lexsort((ids, -exact))[:5]
+        assert near.tolist() == ids[want].tolist() and scores.tolist() == exact[want].tolist()
+
+
+def test_clashing_columns_change_nothing(spark):
+    plain = spark.createDataFrame(vectors(60), "vec_id long, embedding array<float>")
+    more = plain.select("*", *(F.lit(1).alias(c) for c in ("id", "vector", "cls", "ids", "asked", "near", "score", "rank", "query_id")))
+    told = lambda rows: sorted(map(str, hilbert_ann.neighbours(rows, F.col("vec_id") % 20 == 0).collect()))
+    assert told(more) == told(plain)
+
+
 def test_recall(spark, monkeypatch):
     monkeypatch.setattr(hilbert_ann, "SMALLEST", 32)
     rows = vectors(3000, seed=3)

@@ -70,6 +70,11 @@ def test_random_access_reads_equal_length_sequences(awkward):
     assert sum(map(len, flat)) == sum(len(ids) for _, ids in expected(awkward.collect())) and not every
 
 
+def test_clashing_columns_change_nothing(awkward, clashing):
+    told = lambda docs: sorted(map(str, token_files.round_trip(docs, PATH, sequence=64).collect()))
+    assert told(clashing) == told(awkward)
+
+
 def test_no_rows_no_files(nothing):
     assert token_files.write(nothing, PATH) == []
     assert token_files.round_trip(nothing, PATH).collect() == []

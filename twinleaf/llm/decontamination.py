@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import frugal, ship
+from .shared import carried, frugal, ship
 
 U64 = np.uint64
 WINDOW = 10
@@ -241,14 +241,13 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wind
     at = docs.columns.index(text_col)
     others = [f for i, f in enumerate(docs.schema.fields) if i != at]
     names = [f"c{i}" for i in range(len(others))]
-    rest = "".join(f", {n} {f.dataType.simpleString()}" for n, f in zip(names, others, strict=True))
     out = docs.toDF(*("t" if i == at else names[i - (i > at)] for i in range(len(docs.columns))))
     out = out.select("t", F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"), *names)
     *earlier, last = shards(benchmark, window, shard_words)
     for automaton in earlier:
-        out = out.mapInArrow(partial(_mark, automaton=automaton, n_rest=len(names)), f"t string, spans {_SPANS}, items array<string>{rest}")
+        out = out.mapInArrow(partial(_mark, automaton=automaton, n_rest=len(names)), carried(others, before=f"t string, spans {_SPANS}, items array<string>"))
     tail = f"text string, spans {_SPANS}, items array<string>, n_words long, n_hit long, items_sha256 string"
-    out = out.mapInArrow(partial(_mark_and_finish, automaton=last, n_rest=len(names)), f"{rest.removeprefix(', ')}{', ' if rest else ''}{tail}")
+    out = out.mapInArrow(partial(_mark_and_finish, automaton=last, n_rest=len(names)), carried(others, after=tail))
     back = [F.col("text").alias(text_col) if i == at else F.col(names[i - (i > at)]).alias(c) for i, c in enumerate(docs.columns)]
     return out.select(*back, F.col("spans").alias("clean_spans"), F.col("items").alias("clean_items"), "n_words", "n_hit", "items_sha256")
 

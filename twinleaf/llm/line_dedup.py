@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import frugal, materialise, parallelism, ship
+from .shared import carried, frugal, materialise, parallelism, ship
 
 U64 = np.uint64
 PROBES = 4
@@ -267,7 +267,7 @@ def apply(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_d
     at = docs.columns.index(text_col)
     plain = docs.toDF(*[("t" if i == at else names[i - (i > at)]) for i in range(len(docs.columns))])
     kinds = [f for i, f in enumerate(docs.schema.fields) if i != at]
-    schema = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, kinds, strict=True)) + "text string, n_lines long, n_dropped long"
+    schema = carried(kinds, after="text string, n_lines long, n_dropped long")
     if size <= list_bytes:
         keys = spark.sparkContext.broadcast([bytes(r.key) for r in found.select("key").collect()])
         out = plain.select("t", *names).mapInArrow(partial(_rewrite, min_chars=min_chars, condemned=keys), schema)

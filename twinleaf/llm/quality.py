@@ -4,7 +4,7 @@ A document's n-grams are its words and word pairs in two readings: as they are (
 last byte, whether the word repeats the one before), so that junk made of words never seen before is recognised too. Each reading
 is a sparse vector of n-gram frequencies; a score is its dot product with the weights, computed by gathering weights, never by
 building the vector. Weights are trained on the driver on at most about `sample` labelled documents; they are a fixed number of
-buckets, so the broadcast has a fixed size.
+buckets, so the broadcast has a fixed size. The bias alone starts from the share of label 1 and follows plain adaptive descent.
 
 Edge cases: a null or empty text has only the bias; without labels of both kinds every score is the smoothed share of label 1;
 repeated rows get equal scores; other columns are not read; an empty table gives an empty result.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import frugal, labelled_sample, ship
+from .shared import carried, frugal, labelled_sample, ship
 
 U64 = np.uint64
 BITS = 18
@@ -127,8 +127,7 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     ship(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    out = plain.mapInArrow(partial(_score, model=model, text=docs.columns.index(text_col)), schema + ", score double")
+    out = plain.mapInArrow(partial(_score, model=model, text=docs.columns.index(text_col)), carried(docs.schema.fields, after="score double"))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)), "score")
 
 

@@ -11,6 +11,7 @@ import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import ship as ship_package
 
@@ -114,6 +115,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(fields: list[StructField], before: str = "", after: str = "") -> StructType:
+    """Schema of fields under the names c0, c1, ... with those of two DDL texts around them. Types are taken as they are, whatever their names."""
+    own = [StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)]
+    head, tail = (StructType.fromDDL(x).fields if x else [] for x in (before, after))
+    return StructType([*head, *own, *tail])
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import frugal, labelled_sample, ship
+from .shared import carried, frugal, labelled_sample, ship
 
 U64 = np.uint64
 BITS = 16
@@ -306,8 +306,7 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     ship(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    out = plain.mapInArrow(partial(_score, model=model, text=docs.columns.index(text_col)), schema + ", score double")
+    out = plain.mapInArrow(partial(_score, model=model, text=docs.columns.index(text_col)), carried(docs.schema.fields, after="score double"))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)), "score")
 
 
