@@ -17,33 +17,57 @@ from ..session import ship as ship_package
 
 #: Rows of an Arrow batch. Documents are long, and a batch stands in the JVM and in Python at once; Spark's default is 10000.
 BATCH_ROWS = 1024
+#: Rows that the JVM decodes from Parquet at a time. It does so into arrays that hold all their texts and are doubled as they fill; Spark's default
+#: is 4096, and arrays of so many documents are what an executor's heap grows by.
+READ_ROWS = 512
+
+#: What a worker keeps from task to task of one step.
+_worker_caches: list[dict] = []
+_step = None
 
 
 def ship(spark: SparkSession) -> None:
-    """The package on all workers, and Arrow batches of bounded size unless the session sets its own."""
+    """The package on all workers, and batches of bounded size in Arrow and from Parquet unless the session sets its own."""
     ship_package(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) == 10000:
-        spark.conf.set(name, str(BATCH_ROWS))
+    for name, usual, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10000, BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", 4096, READ_ROWS)):
+        if int(spark.conf.get(name)) == usual:
+            spark.conf.set(name, str(rows))
+
+
+def step_cache(cache: dict) -> dict:
+    """cache, which a worker empties when it goes over to another step; what is missing there has to be made again."""
+    _worker_caches.append(cache)
+    return cache
+
+
+def _give_back() -> None:
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def frugal(fn):
     """For generators that run in Python workers: memory that a task has freed goes back to the system when it ends.
 
-    Workers live on between stages, and what they keep adds up beside the executor's heap.
+    Workers live on between stages, and what they keep adds up beside the executor's heap. So the first task of another step also drops what
+    the worker kept for the tasks of the one before, such as tokenizers.
     """
 
     @functools.wraps(fn)
     def run(*args, **kwargs):
+        global _step
+        if _step is not run:
+            _step = run
+            for cache in _worker_caches:
+                cache.clear()
+            _give_back()
         try:
             yield from fn(*args, **kwargs)
         finally:
-            import pyarrow
-
-            pyarrow.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            _give_back()
 
     return run
 

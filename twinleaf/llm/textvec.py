@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import step_cache
+
 U64 = np.uint64
 SLICE_BYTES = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
@@ -45,7 +47,7 @@ ALNUM[0x80:] = True
 RAW_TABLE = _table(1)
 LOWER_TABLE = RAW_TABLE[LOWER]
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[str, np.ndarray] = step_cache({})
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
