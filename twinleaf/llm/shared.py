@@ -21,9 +21,9 @@ BATCH_ROWS = 1024
 #: is 4096, and arrays of so many documents are what an executor's heap grows by.
 READ_ROWS = 512
 
-#: What a worker keeps from task to task of one step.
+#: What a worker keeps from task to task of one operator, and the module of the operator it works for.
 _worker_caches: list[dict] = []
-_step = None
+_operator = ""
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,8 +34,8 @@ def ship(spark: SparkSession) -> None:
             spark.conf.set(name, str(rows))
 
 
-def step_cache(cache: dict) -> dict:
-    """cache, which a worker empties when it goes over to another step; what is missing there has to be made again."""
+def operator_cache(cache: dict) -> dict:
+    """cache, which a worker empties when it goes over to another operator; what is missing there has to be made again."""
     _worker_caches.append(cache)
     return cache
 
@@ -52,15 +52,15 @@ def _give_back() -> None:
 def frugal(fn):
     """For generators that run in Python workers: memory that a task has freed goes back to the system when it ends.
 
-    Workers live on between stages, and what they keep adds up beside the executor's heap. So the first task of another step also drops what
-    the worker kept for the tasks of the one before, such as tokenizers.
+    Workers live on between stages, and what they keep adds up beside the executor's heap. So the first task of another operator also drops
+    what the worker kept for the one before, such as tokenizers.
     """
 
     @functools.wraps(fn)
     def run(*args, **kwargs):
-        global _step
-        if _step is not run:
-            _step = run
+        global _operator
+        if _operator != fn.__module__:
+            _operator = fn.__module__
             for cache in _worker_caches:
                 cache.clear()
             _give_back()

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shared import step_cache
+from .shared import operator_cache
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 18
@@ -47,7 +47,7 @@ ALNUM[0x80:] = True
 RAW_TABLE = _table(1)
 LOWER_TABLE = RAW_TABLE[LOWER]
 
-_powers: dict[str, np.ndarray] = step_cache({})
+_powers: dict[str, np.ndarray] = operator_cache({})
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

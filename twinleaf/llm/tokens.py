@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from . import textvec as tv
-from .shared import step_cache
+from .shared import operator_cache
 
 U64 = np.uint64
 CACHE_CHUNKS = 1_200_000
@@ -29,9 +29,9 @@ ODD_BYTES = [0x0B, 0x1C, 0x1D, 0x1E, 0x1F]
 
 
 class ChunkedTokenizer:
-    """encode(): ids of a slice of texts; one instance lives as long as its Python worker runs tasks of one step."""
+    """encode(): ids of a slice of texts; one instance lives as long as its Python worker works for one operator."""
 
-    _loaded: dict[str, ChunkedTokenizer] = step_cache({})
+    _loaded: dict[str, ChunkedTokenizer] = operator_cache({})
 
     @classmethod
     def at(cls, path: str) -> ChunkedTokenizer:
